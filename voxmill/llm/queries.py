@@ -6,13 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import bpe, wavelet
+from voxmill.llm import bpe, decontaminate, simhash, unitdedup, wavelet
 from voxmill.llm.common import table
 
 #: The vocabulary file of the registered queries.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = wavelet.documents_from_shards(wavelet.write_shards(table(spark, sf_dir, "documents"), TOKENIZER))
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -24,9 +34,16 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = unitdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    spans = F.concat_ws(",", F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["stop"].cast("string"))))
+    kept_in = F.coalesce(F.transform("removed", lambda r: r["kept_in"]), F.array().cast("array<long>"))
+    return found.select("doc_id", F.size(kept_in).cast("long").alias("n_removed"), spans.alias("removed_spans"), kept_in.alias("kept_in"), F.length("kept_text").cast("long").alias("n_chars_kept"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_wavelet, op9_bpe)}
+    return {f.__name__: f for f in (op2_simhash, op3_decontaminate, op8_wavelet, op9_bpe, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontaminate": decontaminate.ORACLE}
