@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import bpe, decontaminate, simhash, suffixes, unitdedup, wavelet
+from voxmill.llm import bpe, ctph, decontaminate, simhash, suffixes, unitdedup, wavelet
 from voxmill.llm.common import table
 
 #: The vocabulary file of the registered queries.
@@ -23,6 +23,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
@@ -48,7 +52,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash, op3_decontaminate, op7_suffixes, op8_wavelet, op9_bpe, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_simhash, op3_decontaminate, op5_ctph, op7_suffixes, op8_wavelet, op9_bpe, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
