@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import bpe, ctph, decontaminate, simhash, suffixes, unitdedup, wavelet
+from voxmill.llm import bpe, ctph, decontaminate, simhash, suffixes, toxicity, unitdedup, wavelet
 from voxmill.llm.common import table
 
 #: The vocabulary file of the registered queries.
@@ -23,6 +23,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    grammar = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, grammar).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compare_neighbours(table(spark, sf_dir, "documents"))
 
@@ -52,7 +58,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash, op3_decontaminate, op5_ctph, op7_suffixes, op8_wavelet, op9_bpe, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_simhash, op3_decontaminate, op4_toxicity, op5_ctph, op7_suffixes, op8_wavelet, op9_bpe, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
