@@ -3,16 +3,28 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import bpe, ctph, decontaminate, simhash, suffixes, toxicity, unitdedup, wavelet
+from voxmill.llm import bpe, ctph, decontaminate, htmlmain, pii, simhash, suffixes, toxicity, unitdedup, wavelet
 from voxmill.llm.common import table
 
 #: The vocabulary file of the registered queries.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def spans_text(spans: Column) -> Column:
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))))
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_email to n_phone count the spans of the patterns, as base_sha256 digests them; n_added counts the others."""
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -33,6 +45,11 @@ def op5_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = htmlmain.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
@@ -58,7 +75,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash, op3_decontaminate, op4_toxicity, op5_ctph, op7_suffixes, op8_wavelet, op9_bpe, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_simhash, op3_decontaminate, op4_toxicity, op5_ctph, op6_html, op7_suffixes, op8_wavelet, op9_bpe, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
