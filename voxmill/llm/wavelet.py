@@ -16,6 +16,7 @@ Defined results: a null or empty text is one end id; repeated doc_ids are kept,
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,10 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxmill.llm.bpe import CACHED_PIECES, PIECES, UNSURE
+from voxmill.llm.bpe import PIECES, UNSURE
 from voxmill.llm.common import clean_documents, materialise
 
 MAGIC = b"WMX1"
+#: Entries of each lookup table of a worker process. Beyond it the table starts anew; this bounds memory and changes no result.
+CACHED_PIECES = 700_000
 #: Bits of a plane for each stored count of ones.
 BLOCK = 512
 
@@ -142,9 +145,16 @@ def unpack(file: bytes) -> tuple[WaveletMatrix, list, np.ndarray]:
 
 
 class LibraryEncoder:
-    """The tokenizers library's ids of whole texts; the ids of a piece that came before are looked up."""
+    """The tokenizers library's ids of whole texts, each distinct piece encoded once by the library and then looked up.
+
+    Byte-level BPE never merges across pieces, and the splitter always cuts before a space or line break that stands
+    between two other characters. So a text is cut there first, and what lies between two such cuts is looked up as a
+    whole. Texts with runs of white space are split into pieces one by one; texts with an added token, or with code
+    points that the two splitters may class differently, go to the library whole.
+    """
 
     def __init__(self, source: bytes):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(source.decode())
@@ -153,25 +163,58 @@ class LibraryEncoder:
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.bits = max(1, (size - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.bits <= 16 else "<u4")
-        special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.pieces, self.cache = regex.compile(PIECES).findall, {}
+        self.coded = [np.array(i, self.dtype).tobytes() for i in range(size)]
+        self.spaced = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.split, self.pieces, self.lines, self.words = regex.compile(PIECES).findall, {}, {}, {}
+        self.line_break = self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        return b"".join([self.coded[i] for i in self.tok.encode(text, add_special_tokens=False).ids])
+
+    def of_pieces(self, out: list[str]) -> bytes:
+        known = self.pieces
+        new = [p for p in dict.fromkeys(out) if p not in known]
+        for p in new:
+            known[p] = self.whole(p)
+        got = b"".join([known[p] for p in out])
+        if len(known) > CACHED_PIECES:
+            known.clear()
+        return got
+
+    def learn(self, chunks: set[str], known: dict, lead: str) -> bool:
+        """Looks up new chunks; False if one touches white space, so that its neighbours matter."""
+        new = [c for c in chunks if c not in known]
+        if any(not c or c[0].isspace() or c[-1].isspace() for c in new):
+            return False
+        if not lead:
+            known.update((c, self.whole(c)) for c in new)
+        elif new:  # in one call: a chunk's first id, and no other of it, stands for a string with a leading space
+            ids = np.array(self.tok.encode(lead + lead.join(new), add_special_tokens=False).ids, self.dtype)
+            cuts, raw, size = (np.flatnonzero(self.spaced[ids]) * self.dtype.itemsize).tolist(), ids.tobytes(), self.dtype.itemsize
+            known.update((c, raw[i:j]) for c, i, j in zip(new, cuts, [*cuts[1:], len(ids) * size], strict=True))
+        return True
 
     def encode(self, text: str) -> bytes:
-        if UNSURE.search(text) or self.special and self.special.search(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        cache, out = self.cache, self.pieces(text)
-        try:
-            return b"".join([cache[p] for p in out])
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(out) if p not in cache]
-        for p, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-            cache[p] = np.array(e.ids, self.dtype).tobytes()
-        got = b"".join([cache[p] for p in out])
-        if len(cache) > CACHED_PIECES:
-            cache.clear()
-        return got
+        if not text.isascii() and UNSURE.search(text) or any(s in text for s in self.special):
+            return self.whole(text)
+        lines = [x.split(" ") for x in text.split("\n")]
+        for _ in range(2):
+            try:
+                out = []
+                for x in lines:
+                    out.append(self.lines[x[0]])
+                    out.extend(map(self.words.__getitem__, x[1:]))
+                    out.append(self.line_break)
+                del out[-1]
+                return b"".join(out)
+            except KeyError:
+                for known in (self.lines, self.words):
+                    if len(known) > CACHED_PIECES:
+                        known.clear()
+            if not (self.learn({x[0] for x in lines}, self.lines, "") and self.learn({w for x in lines for w in x[1:]}, self.words, " ")):
+                break
+        return self.of_pieces(self.split(text))
 
 
 _ENCODERS: dict[int, LibraryEncoder] = {}
