@@ -128,7 +128,7 @@ def component_roots(df: DataFrame, connectivity: int = 26) -> DataFrame:
         to, back = packed
         roots = star_components(pairs.select(to("a").alias("a"), to("b").alias("b")))
         rooted = own.withColumn("k", _key(own)).withColumn("node", to("k")).join(roots, "node", "left")
-        return rooted.select(*keys(own), F.coalesce(back("root"), F.col("k")).alias("root"))
+        return rooted.select(*keys(own), F.when(F.col("root").isNull(), F.col("k")).otherwise(back("root")).alias("root"))
     roots = star_components(pairs)
     return own.withColumn("node", _key(own)).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
 
