@@ -14,23 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxmill.kernels.lattice import run_pass
 from voxmill.operators.frame import AXES, as_spacing, keys, validate, voxels
 
-BLOCK = 512
-
-
-def run_pass(u: np.ndarray, g: np.ndarray, step: float) -> np.ndarray:
-    """Squared distances of one run of consecutive places u."""
-    n = len(u)
-    i = np.arange(n)
-    out = (step * np.minimum(i + 1, n - i)) ** 2
-    finite = np.flatnonzero(np.isfinite(g))
-    for a in range(0, n, BLOCK):
-        if len(finite):
-            own = i[a : a + BLOCK]
-            out[a : a + BLOCK] = np.minimum(out[a : a + BLOCK], (g[finite] + (step * (own[:, None] - finite[None, :])) ** 2).min(1))
-    return out
-
 
 def _pass(df: DataFrame, axis: str, step: float) -> DataFrame:
     names = df.columns
