@@ -13,7 +13,7 @@ are equal strings; all that belong to a later document than the leaf's first are
 Scale: runs equal to one of an earlier document in the same map task are settled there and not sent (that also thins
 hot passages before the shuffle). Runs travel as compressed blocks, one for each bucket and flush; a bucket larger than
 `bucket_bytes` is worked off in several passes over its blocks. Covered intervals travel as compressed blocks to the part of their
-document, and the documents themselves are shuffled once and streamed past them.
+document, and the documents themselves are shuffled once, each compressed, and streamed past them.
 
 Defined results: a null or empty text, and any of fewer than `length` bytes, loses nothing. Rows with one doc_id are one
 document: they don't cover each other. A null doc_id ranks before all others. An empty table gives an empty table.
@@ -355,16 +355,18 @@ def remove_repeats(df: DataFrame, length: int = 50, buckets: int | None = None,
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column("id"))
-            yield pa.RecordBatch.from_arrays([pa.array(part_of(ids, parts)), batch.column("id"), batch.column("text").cast(pa.binary())], names=["part", "id", "data"])
+            for piece in chunks(batch, "text", 8 << 20):
+                ids, press = np.asarray(piece.column("id")), zstandard.ZstdCompressor(level=1)
+                texts = pa.array([press.compress(t.as_py()) for t in piece.column("text").cast(pa.binary())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part_of(ids, parts)), piece.column("id"), texts], names=["part", "id", "data"])
 
     placed = docs.mapInArrow(place, "part long, id long, data binary").select("part", F.lit(1).alias("turn"), "id", "data")
     both = found.select("part", F.lit(0).alias("turn"), F.lit(None).cast("long").alias("id"), F.col("block").alias("data")).union(placed)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, blocks, of = None, [], {}
+        part, blocks, of, open_ = None, [], {}, zstandard.ZstdDecompressor()
         for batch in batches:
-            for piece in chunks(batch, "data", 2 << 20):
+            for piece in chunks(batch, "data", 1 << 20):
                 rows: list[list] = [[], [], [], []]
                 for p, turn, i, data in zip(*(piece.column(c).to_pylist() for c in ("part", "turn", "id", "data")), strict=True):
                     if p != part:
@@ -374,6 +376,7 @@ def remove_repeats(df: DataFrame, length: int = 50, buckets: int | None = None,
                         continue
                     if blocks:
                         of, blocks = merged(blocks), []
+                    data = open_.decompress(data)
                     spans = of.get((i, xxhash.xxh64_intdigest(data) & 0xFFFF))
                     kept, at = [], 0
                     for a, b in spans if spans is not None else ():
