@@ -163,8 +163,8 @@ def fingerprint_links(distinct: DataFrame, limit: int = 3, blocks: int = 6, grou
         if held.shape[1]:
             yield linked(held)
 
-    masks = block_masks(blocks, limit)
-    keyed = distinct.select("fp", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask")).select("mask", F.expr("fp & mask").alias("key"), "fp")
+    first = [F.lit(signed(m)) for m in block_masks(blocks, limit)]
+    keyed = distinct.select("fp", F.explode(F.array(*first)).alias("mask")).select("mask", F.expr("fp & mask").alias("key"), "fp")
     out = None
     while True:
         sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -175,9 +175,9 @@ def fingerprint_links(distinct: DataFrame, limit: int = 3, blocks: int = 6, grou
         many = shared.where(F.col("n") > group)
         if many.isEmpty():
             return out
-        # the finer masks are as many as the bits allow, whatever the data
-        pairs = [(signed(old), signed(m)) for old in masks for m in finer_masks(old, limit)]
-        masks = list(dict.fromkeys(m & (1 << BITS) - 1 for _, m in pairs))
+        # the masks of a level are as many as the choices of blocks allow, whatever the data
+        hot = [r[0] & (1 << BITS) - 1 for r in many.select("mask").distinct().collect()]
+        pairs = [(signed(old), signed(m)) for old in hot for m in finer_masks(old, limit)]
         finer = F.broadcast(spark.createDataFrame(pairs, "mask long, finer long"))
         keyed = many.join(finer, "mask").select(F.col("finer").alias("mask"), F.expr("fp & finer").alias("key"), "fp").distinct()
 

@@ -55,6 +55,7 @@ def repeated_units(df: DataFrame, least_words: int = 5) -> DataFrame:
     every = materialise(units(clean_documents(df), least_words), "units")
     rank = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.col("text_digest").alias("t"), F.col("unit").alias("u"))
     first = every.groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("r"), F.min_by("doc_id", rank).alias("kept_in")).where("n > 1")
+    first = materialise(first, "repeated")  # so that the join is one of two plain shuffles, which adaptive execution can split
     return every.join(first, "digest").where(rank != F.col("r")).select("doc_id", "text_digest", "unit", "start", "stop", "kept_in")
 
 
