@@ -185,13 +185,13 @@ def test_toxicity_edge_cases(spark, make, small):
     g = toxicity.train(make(small), labels)
     got = toxicity.score(make(small), g).collect()
     assert len(got) == len(small) and len({r.score for r in got}) == 1 and not any(r.predicted for r in got)
-    texts = ["you are a moronic person indeed moronic"] * 6 + ["a fine day to walk"] * 6
+    texts = ["you are a moronic person indeed moronic"] * 40 + ["a fine day to walk"] * 40
     texts = [f"{t} {i}" for i, t in enumerate(texts)]
-    both = spark.createDataFrame([(i, int(i < 6)) for i in range(12)] + [(0, None), (None, 1)], "doc_id long, toxic int")
-    docs = make([*enumerate(texts), (100, None), (101, "")])
+    both = spark.createDataFrame([(i, int(i < 40)) for i in range(80)] + [(0, None), (None, 1)], "doc_id long, toxic int")
+    docs = make([*enumerate(texts), (100, None), (101, ""), (102, None)])
     g = toxicity.train(docs, both)
     kept = {r.doc_id for r in toxicity.drop_toxic(docs, g).collect()}
-    assert {6, 7, 8, 9, 10, 11, 100, 101} <= kept and not kept & {0, 1, 2, 3, 4, 5}
+    assert kept == {*range(40, 80), 100, 101, 102}
     assert toxicity.drop_toxic(docs, g).columns == docs.columns
     assert toxicity.score(docs.limit(0), g).count() == 0
 
