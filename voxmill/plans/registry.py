@@ -129,7 +129,7 @@ def _register() -> None:
     ids = "SELECT x, y, z, row_number() OVER (ORDER BY x, y, z) - 1 AS id FROM ({})"
     add("edges26", on("c97", lambda a: graph.edges(a)[1]), f"WITH v AS ({ids.format(distinct('c97'))}) SELECT v.id AS src, n.id AS dst FROM v CROSS JOIN {values([o for o in OFFSETS[26] if o > (0, 0, 0)])} JOIN v n ON n.x = v.x + dx AND n.y = v.y + dy AND n.z = v.z + dz")
     add("graph_nodes", on("c97", graph.nodes), f"SELECT x, y, z, row_number() OVER (ORDER BY x, y, z) - 1 AS node_id FROM ({distinct('c97')})")
-    add("downsample_graph", on("c97", lambda a: graph.downsample_graph(a, 2)[1]), f"WITH v AS MATERIALIZED ({distinct('c97')}), c AS MATERIALIZED ({ids.format(f'SELECT DISTINCT {fl(2)} FROM v')}), p AS (SELECT x AS px, y AS py, z AS pz, {fl(2)} FROM v), w AS MATERIALIZED (SELECT px, py, pz, id FROM p JOIN c USING (x, y, z)) SELECT DISTINCT least(w.id, n.id) AS src, greatest(w.id, n.id) AS dst FROM w CROSS JOIN {values([o for o in OFFSETS[26] if o > (0, 0, 0)])} JOIN w n ON n.px = w.px + dx AND n.py = w.py + dy AND n.pz = w.pz + dz WHERE w.id <> n.id")
+    add("downsample_graph", on("c97", lambda a: graph.downsample_graph(a, 2)[1]), f"WITH v AS MATERIALIZED ({distinct('c97')}), c AS MATERIALIZED ({ids.format(f'SELECT DISTINCT {fl(2)} FROM v')}), p AS (SELECT x AS px, y AS py, z AS pz, {fl(2)} FROM v), w AS MATERIALIZED (SELECT px, py, pz, id FROM p JOIN c USING (x, y, z)), s AS MATERIALIZED (SELECT id AS a, px + dx AS px, py + dy AS py, pz + dz AS pz FROM w, {values([o for o in OFFSETS[26] if o > (0, 0, 0)])}) SELECT DISTINCT least(a, id) AS src, greatest(a, id) AS dst FROM s JOIN w USING (px, py, pz) WHERE a <> id")
     six = f"""WITH RECURSIVE v AS MATERIALIZED ({ids.format(distinct('c97'))}), e AS MATERIALIZED (SELECT v.id AS a, n.id AS b FROM v CROSS JOIN {values(OFFSETS[6])} JOIN v n ON n.x = v.x + dx AND n.y = v.y + dy AND n.z = v.z + dz),
 r AS (SELECT id AS a, id AS b FROM v UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), root AS (SELECT a AS id, min(b) AS m FROM r GROUP BY a)"""
     add("components6", on("c97", lambda a: graph.connected_components(voxels(a), 6)), f"{six} SELECT x, y, z, dense_rank() OVER (ORDER BY m) - 1 AS label FROM v JOIN root USING (id)")
