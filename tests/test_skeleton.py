@@ -90,11 +90,13 @@ def test_teasar(branching):
 
 
 def test_wavefront():
-    v = cylinder(8, 40)
+    v = cylinder(8, 80)
     nodes, pairs, radii, counts = skeletons.wavefront(v, np.ones(3))
     assert counts.sum() == len(v) and forest(len(nodes), pairs)
-    inner = (nodes[:, 2] > 12) & (nodes[:, 2] < 28)
-    assert np.abs(nodes[inner][:, :2] - 8).max() < 1.5 and radii[inner] == pytest.approx(8, abs=1.2)
+    far = nodes[:, 2].argsort()[len(nodes) // 4 : len(nodes) // 2]  # the wave is round near its start, at either end
+    near = nodes[:, 2].argsort()[len(nodes) // 2 : 3 * len(nodes) // 4]
+    inner = min(far, near, key=lambda k: np.abs(radii[k] - 8).max())
+    assert np.abs(nodes[inner][:, :2] - 8).max() < 0.3 and radii[inner] == pytest.approx(8, abs=0.3)
     nodes, pairs, _, _ = skeletons.wavefront(annulus(), np.ones(3), tree=False)
     assert len(pairs) - len(nodes) + 1 == 1
     nodes, pairs, radii, _ = skeletons.wavefront(cube(6), np.ones(3), step=100)
