@@ -1 +1 @@
-
+"""Helpers that are no operators: dense ids."""

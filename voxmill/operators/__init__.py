@@ -1 +1 @@
-
+"""Operators on voxel frames."""

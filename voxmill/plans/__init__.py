@@ -1 +1 @@
-
+"""The registry of named queries."""

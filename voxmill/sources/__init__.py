@@ -1 +1 @@
-
+"""Derived clouds, shapes and shared scratch tables."""
