@@ -198,7 +198,8 @@ def keep_first(df: DataFrame, limit: int = 3) -> DataFrame:
     found = near_duplicates(df, limit)
     kept = materialise(found.where("doc_id = component_id OR component_id IS NULL").groupBy("doc_id", "component_id").agg(F.count("*").alias("n")), "kept")
     ids = kept.select(F.col("doc_id").alias("kept_id"), "n")
-    out = df.join(ids.select("kept_id"), df["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+    # the ids grow with the documents: one plan at every size, never a broadcast
+    out = df.join(ids.select("kept_id").hint("merge"), df["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
     if ids.where("n > 1").isEmpty():
         return out
     # repeated doc_ids, which a table of documents should not have: one row of each
