@@ -73,13 +73,16 @@ def contact_fixes(df: DataFrame) -> DataFrame:
     return found.select(*rest, *((F.col(a) + F.col(f"d.d{a}")).alias(a) for a in AXES)).distinct()
 
 
-def make_manifold(df: DataFrame, max_iter: int = 8) -> DataFrame:
-    """Voxels are added until no two touch along an edge or at a corner alone. Runs a job for each round; warns if max_iter rounds don't do."""
-    max_iter = int(max_iter)
-    if max_iter < 0:
+def make_manifold(df: DataFrame, max_iter: int | None = 8) -> DataFrame:
+    """Voxels are added until no two touch along an edge or at a corner alone. Runs a job for each round; warns if max_iter rounds don't do.
+
+    With max_iter None as many rounds as it takes; they end, as no voxel is added outside the bounding box.
+    """
+    max_iter = None if max_iter is None else int(max_iter)
+    if max_iter is not None and max_iter < 0:
         raise ValueError(f"max_iter has to be 0 or more, not {max_iter}")
     now = voxels(df)
-    for _ in range(max_iter):
+    for _ in itertools.count() if max_iter is None else range(max_iter):
         now = materialise(now, "manifold")
         fixes = materialise(contact_fixes(now), "fixes")
         if fixes.isEmpty():

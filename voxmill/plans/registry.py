@@ -87,7 +87,7 @@ def _register() -> None:
     add("exposed_faces", on("c40", stencil.exposed_faces), f"{C40_FACES} SELECT x, y, z, CAST(axis AS INTEGER) AS axis, CAST(side AS INTEGER) AS side FROM f")
     add("surface_voxels", on("c40", stencil.surface_voxels), f"{C40_FACES} SELECT DISTINCT x, y, z FROM f")
     add("contact_fixes", on("c97", morph.contact_fixes), _contact_sql())
-    add("make_manifold", on("c97", partial(morph.make_manifold, max_iter=3)))
+    add("make_manifold", on("c97", partial(morph.make_manifold, max_iter=None)))
     # measures
     add("volume", on("c40", partial(measure.volume, spacing=(4, 4, 40))), f"SELECT count(*) * 640.0::DOUBLE AS volume FROM ({A})")
     add("surface_area", on("c40", partial(measure.surface_area, spacing=(4, 4, 40))), f"{C40_FACES} SELECT sum(CASE axis WHEN 0 THEN 160 WHEN 1 THEN 160 ELSE 16 END)::DOUBLE AS surface_area FROM f")
