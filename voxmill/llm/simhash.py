@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from voxmill.llm.common import chunks, clean_documents, materialise
 from voxmill.llm.components import components
+from voxmill.llm.nearcopies import keep_first  # noqa: F401 - what used to stand here
 
 SHINGLE, SEED, BITS = 3, 42, 64
 
@@ -191,17 +192,3 @@ def near_duplicates(df: DataFrame, limit: int = 3) -> DataFrame:
     least = grown.groupBy("root").agg(F.min("first").alias("component_id"))
     found = grown.join(least, "root").select("fp", "component_id")
     return docs.join(found, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(df: DataFrame, limit: int = 3) -> DataFrame:
-    """The rows of df whose doc_id is the least of their component; of rows that repeat a doc_id the one with the least text."""
-    found = near_duplicates(df, limit)
-    kept = materialise(found.where("doc_id = component_id OR component_id IS NULL").groupBy("doc_id", "component_id").agg(F.count("*").alias("n")), "kept")
-    ids = kept.select(F.col("doc_id").alias("kept_id"), "n")
-    # the ids grow with the documents: one plan at every size, never a broadcast
-    out = df.join(ids.select("kept_id").hint("merge"), df["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
-    if ids.where("n > 1").isEmpty():
-        return out
-    # repeated doc_ids, which a table of documents should not have: one row of each
-    rows = F.struct(F.col("text"), *[c for c in out.columns if c != "text"])
-    return out.groupBy(F.col("doc_id").alias("kept_id")).agg(F.min(rows).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in df.columns])
