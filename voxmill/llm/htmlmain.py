@@ -34,6 +34,9 @@ NAME = re.compile(r"[a-z]+")
 
 #: Classes of tags in HTML.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "select", "object", "xmp", "noembed", "noframes"}
+#: Of these, those whose text is raw also without an end tag, and foreign content, where a tag ending in "/" is empty.
+TO_END = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
+FOREIGN = {"svg", "math"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -58,6 +61,7 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     linked = at = 0
     hidden = None  # the head's depth, while in it
+    unclosed: set[str] = set()  # names without an end tag further on
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -103,8 +107,13 @@ def blocks_of(page: str) -> list[Block]:
             if k is not None:
                 close(k)
             continue
+        if name in unclosed or name in FOREIGN and m[3].endswith("/"):
+            continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, pos)
+            if end is None and name not in TO_END:  # never closed: its text is text
+                unclosed.add(name)
+                continue
             stop = len(page) if end is None else page.find(">", end.end())
             at = pos = len(page) if stop < 0 or end is None else stop + 1
             continue
@@ -114,7 +123,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name == "head" and hidden is None:
             hidden = len(stack)
-        elif name == "body" and hidden is not None:
+        elif hidden is not None and (name == "body" or name in BLOCK):  # both tags around can be left out
             close(hidden)
         if name in BLOCK:
             flush()
