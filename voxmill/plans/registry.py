@@ -163,15 +163,15 @@ SELECT cx, cy, cz, round(sum(mx) / (2 * count(*)), 9) AS x, round(sum(my) / (2 *
     add("thin", on("o40", skeleton.thin))
     add("thin_skeleton", on("o40", lambda a: skeleton.thin_skeletonize(a)[0].select("node_id", "x", "y", "z", "radius")))
     add("centerline_edges", on("o40", lambda a: skeleton.thin_skeletonize(a, min_branch_length=2.0)[1]))
-    add("teasar_nodes", on("o40", lambda a: skeleton.teasar_skeletonize(a, branching="fast")[0]))
+    add("teasar_nodes", on("o40", lambda a: skeleton.teasar_skeletonize(a)[0]))
     add("teasar_tree_edges", on("o40", lambda a: skeleton.teasar_skeletonize(a, branching="tree", downsample=2)[1]))
     add("wavefront_nodes", on("o40", lambda a: skeleton.wavefront_skeletonize(a)[0]))
     add("wavefront_edges", on("o40", lambda a: skeleton.wavefront_skeletonize(a, tree=False)[1]))
     add("swc", on("o40", lambda a: skeleton.to_swc(*skeleton.wavefront_skeletonize(a))))
     add("node_degrees", on("o40", lambda a: skeleton.node_degrees(*skeleton.wavefront_skeletonize(a))))
-    tube = lambda a: skeleton.tube_coefficients(a, "wavefront", n_theta=16)[0]
+    tube = lambda a: skeleton.tube_coefficients(a, "wavefront")[0]
     add("tube_coefficients", on("o40", tube))
-    add("tube_evaluate", on("o40", lambda a: skeleton.evaluate(tube(a), 8)))
+    add("tube_evaluate", on("o40", lambda a: skeleton.evaluate(tube(a))))
     add("tube_gpu_buffer", on("o40", lambda a: skeleton.to_gpu_buffer(tube(a))))
 
 
