@@ -2,14 +2,14 @@
 
 A window is `window` consecutive words of a benchmark item (an item of fewer words, but not none, is one window). It
 is the set of its `shingle`-word shingles, each at its offset. Since a window occurs only where all of its shingles
-do, one of them is a sufficient prefix: the shingles are ordered by their frequency in all documents and only the
-rarest of each window is joined. An occurrence of it at word p places the window at p - offset (positional bound); it
-has to lie inside the document (length bound); then all the window's words are compared one by one.
+do, one of them is a sufficient prefix. A first scan of the documents counts how often each benchmark shingle occurs in them; that
+orders the shingles by rarity, drops the windows of which some shingle occurs nowhere, and leaves the rarest one of each
+other window as its prefix. A second scan joins the prefixes alone. An occurrence of one at word p places the window at
+p - offset (positional bound); it has to lie inside the document (length bound); then all its words are compared one by one.
 
-One scan reads the documents: it hashes the shingle at each word, keeps those that any benchmark item has, with the
-words around, and one row per document with its word count. The shingles of the benchmark are broadcast only if they
-are counted to be `broadcast_rows` at most; beyond that the same join is shuffled. Everything after the scan works on
-those matches alone, with joins that adaptive execution can split.
+Counts are combined before their shuffle. The shingles of the benchmark are broadcast only if they are counted to be `broadcast_rows` at
+most; beyond that the same joins are shuffled. Everything after the second scan works on its matches alone, with
+joins that adaptive execution can split.
 
 Defined results: a null or empty text, or one without words, has no words, no hits and no items. Repeated rows each
 have a result. Items with a null id or no words are left out, and repeated items count once. Without any item no
@@ -47,25 +47,51 @@ def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
     return ww.select("item_id", F.concat_ws(" ", "ww").alias("wkey"), "ww").dropDuplicates(["item_id", "wkey"])
 
 
-def matches(docs: DataFrame, shingles: DataFrame, sizes: list[int], window: int, broadcast: bool) -> DataFrame:
-    """uid, doc_id, n_words, pos, h, ctx, ctx_at: one row of pos -1 for each document, and one for each word at which a benchmark shingle starts."""
-    at = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", words_of("text").alias("w"))
-    at = at.select("uid", "doc_id", "w", F.explode(F.expr("sequence(-1, size(w) - 1)")).alias("pos"))
+def shingles_at(docs: DataFrame, sizes: list[int], first: int) -> DataFrame:
+    """docs with pos (each word from `first` on) and h, the hash of the shingle that starts there; one row for each size."""
+    at = docs.withColumn("pos", F.explode(F.expr(f"sequence({first}, size(w) - 1)") if first < 0 else F.expr("IF(size(w) > 0, sequence(0, size(w) - 1), CAST(array() AS array<int>))")))
     hashes = [shingle_hash("w", "pos", k) for k in sizes]
-    at = at.withColumn("h", F.explode(F.array(*hashes)) if len(hashes) > 1 else hashes[0] if hashes else F.lit(0).cast("long"))
-    around = F.expr(f"slice(w, greatest(pos - {window - 1}, 0) + 1, {2 * window - 1})")
-    if not broadcast:
-        at = at.select("uid", "doc_id", F.expr("size(w)").alias("n_words"), "pos", "h", around.alias("ctx"))
-    known = shingles.select(F.col("h").alias("kh")).distinct()
-    hit = at.join(F.broadcast(known) if broadcast else known, F.col("h") == F.col("kh"), "left").where("kh IS NOT NULL OR pos = -1")
+    return at.withColumn("h", F.explode(F.array(*hashes)) if len(hashes) > 1 else hashes[0] if hashes else F.lit(0).cast("long"))
+
+
+def frequencies(docs: DataFrame, known: DataFrame, sizes: list[int], broadcast: bool) -> DataFrame:
+    """h and freq: how often each shingle of `known` (column h, distinct) starts in docs (column w); none for those that never do."""
+    every = shingles_at(docs.select("w"), sizes, 0).select("h")
     if broadcast:
-        hit = hit.select("uid", "doc_id", F.expr("size(w)").alias("n_words"), "pos", "kh", around.alias("ctx"))
-    hit = hit.select("uid", "doc_id", "n_words", "pos", F.when(F.col("pos") >= 0, F.col("kh")).alias("h"), F.when(F.col("pos") >= 0, F.col("ctx")).alias("ctx"), F.expr(f"greatest(pos - {window - 1}, 0)").alias("ctx_at"))
-    return hit.dropDuplicates(["uid", "pos", "h"]) if len(sizes) > 1 else hit
+        return every.join(F.broadcast(known), "h").groupBy("h").agg(F.count("*").alias("freq"))
+    return every.groupBy("h").agg(F.count("*").alias("freq")).join(known, "h")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, shingle: int = 5, least_items: int = 2, broadcast_rows: int = 500_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted array of id strings), contaminated; one row for each row of docs."""
+def occurrences(docs: DataFrame, prefix: DataFrame, sizes: list[int], window: int, broadcast: bool) -> tuple[DataFrame, DataFrame]:
+    """(uid, doc_id, text_mark, n_words) of each document, and (uid, start, stop, wkey) of each window that occurs in one.
+
+    prefix: wkey, ww (its words), h (its rarest shingle) and off (where in it); a broadcast prefix needs one scan that ships the
+    words around each match, a larger one is met by (uid, pos, h) alone and fetches the words of the matches afterwards.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("text_mark"), words_of("text").alias("w"))
+    fits = F.expr("start >= 0 AND start + size(ww) <= n_words")
+    if broadcast:
+        at = shingles_at(rows, sizes, -1)
+        known = prefix.select(F.col("h").alias("kh")).distinct()
+        hit = at.join(F.broadcast(known), F.col("h") == F.col("kh"), "left").where("kh IS NOT NULL OR pos = -1")
+        around = F.expr(f"slice(w, greatest(pos - {window - 1}, 0) + 1, {2 * window - 1})")
+        one = F.col("pos") >= 0
+        hit = hit.select("uid", "doc_id", "text_mark", F.expr("size(w)").alias("n_words"), "pos", F.when(one, F.col("kh")).alias("h"), F.when(one, around).alias("ctx"), F.expr(f"greatest(pos - {window - 1}, 0)").alias("ctx_at"))
+        found = materialise(hit.dropDuplicates(["uid", "pos", "h"]) if len(sizes) > 1 else hit, "matches")
+        placed = found.where("pos >= 0").join(prefix, "h").withColumn("start", F.col("pos") - F.col("off"))
+        placed = placed.where(fits).where("slice(ctx, start - ctx_at + 1, size(ww)) = ww")
+        base = found.where("pos = -1").select("uid", "doc_id", "text_mark", "n_words")
+    else:
+        rows = materialise(rows, "words")  # so that a row keeps its uid
+        at = shingles_at(rows.select("uid", "w"), sizes, 0).select("uid", "pos", "h", F.expr("size(w)").alias("n_words"))
+        near = at.join(prefix, "h").withColumn("start", F.col("pos") - F.col("off")).where(fits).select("uid", "start", "wkey", "ww").distinct()
+        placed = near.join(rows.select("uid", "w"), "uid").where("slice(w, start + 1, size(ww)) = ww")
+        base = rows.select("uid", "doc_id", "text_mark", F.expr("size(w)").alias("n_words"))
+    return base, materialise(placed.select("uid", "start", (F.col("start") + F.expr("size(ww)")).alias("stop"), "wkey"), "hits")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, shingle: int = 5, least_items: int = 2, broadcast_rows: int = 500_000, with_text_mark: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (sorted array of id strings), contaminated, and text_mark if asked for (xxhash64 of the text); one row for each row of docs."""
     owned = materialise(benchmark_windows(items, window), "windows")
     wins = owned.select("wkey", "ww").dropDuplicates(["wkey"]).withColumn("k", F.expr(f"least(size(ww), {shingle})"))
     sizes = sorted(r[0] for r in wins.select("k").distinct().collect())  # at most `shingle` numbers
@@ -74,16 +100,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, shingle: i
     for k in sizes:
         of_size = F.when(F.col("k") == k, shingle_hash("ww", "off", k)).otherwise(of_size)
     offs = materialise(offs.withColumn("h", of_size), "shingles")
+    small = offs.count() <= broadcast_rows
 
-    found = materialise(matches(clean_documents(docs), offs, sizes, window, offs.count() <= broadcast_rows), "matches")
-    hits = found.where("pos >= 0")
-    freq = hits.groupBy("h").agg(F.count("*").alias("freq"))
+    texts = clean_documents(docs)
+    freq = materialise(frequencies(texts.select(words_of("text").alias("w")), offs.select("h").distinct(), sizes, small), "rarity")
     rarest = offs.join(freq, "h").groupBy("wkey").agg(F.min(F.struct("freq", "h", "off")).alias("r"), F.count("*").alias("seen"), F.first("ww").alias("ww"), F.first("k").alias("k"))
     # a window of which some shingle occurs nowhere cannot occur
-    prefix = rarest.where("seen = size(ww) - k + 1").select("wkey", "ww", F.col("r.h").alias("h"), F.col("r.off").alias("off"))
-    placed = hits.join(prefix, "h").withColumn("start", F.col("pos") - F.col("off"))
-    placed = placed.where("start >= 0 AND start + size(ww) <= n_words AND slice(ctx, start - ctx_at + 1, size(ww)) = ww")
-    placed = materialise(placed.select("uid", "start", (F.col("start") + F.expr("size(ww)")).alias("stop"), "wkey"), "hits")
+    prefix = materialise(rarest.where("seen = size(ww) - k + 1").select("wkey", "ww", F.col("r.h").alias("h"), F.col("r.off").alias("off")), "prefix")
+    base, placed = occurrences(texts, prefix, sizes, window, small)
 
     before = Window.partitionBy("uid").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     spans = placed.select("uid", "start", "stop").distinct()
@@ -91,7 +115,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, shingle: i
     covered = covered.groupBy("uid").agg(F.sum(F.expr("greatest(stop - greatest(start, to), 0)")).alias("n_hit"))
     of_doc = placed.select("uid", "wkey").distinct().join(owned.select("wkey", "item_id"), "wkey").select("uid", "item_id").distinct()
     of_doc = of_doc.groupBy("uid").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
-    out = found.where("pos = -1").select("uid", "doc_id", "n_words").join(covered, "uid", "left").join(of_doc, "uid", "left")
+    out = base.join(covered, "uid", "left").join(of_doc, "uid", "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id",
@@ -100,9 +124,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, shingle: i
         F.size(items_).cast("long").alias("n_items"),
         items_.alias("items"),
         (F.size(items_) >= least_items).alias("contaminated"),
+        *(["text_mark"] if with_text_mark else []),
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, least_items: int = 1) -> DataFrame:
+    """The rows of docs, with all their columns, in which windows of fewer than least_items benchmark items occur.
+
+    A row is known by its doc_id and a 64-bit hash of its text, so rows that repeat a doc_id are judged each by its own text.
+    """
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = decontaminate(docs.select("doc_id", "text"), items, least_items=least_items, with_text_mark=True)
+    bad = materialise(found.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_mark").alias("bad_mark")).distinct(), "contaminated")
+    # the ids grow with the documents: one plan at every size, never a broadcast
+    return docs.join(bad.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (mark == bad["bad_mark"]), "left_anti")
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
