@@ -5,9 +5,11 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from voxmill.llm import ctph, queries, simhash, suffixes, unitdedup
-from voxmill.llm.components import components
+from voxmill.llm import ctph, nearcopies, queries, simhash, suffixes, unitdedup
+from voxmill.operators.graph import star_components as components
 
 
 def fingerprint(text):
@@ -60,6 +62,23 @@ def test_simhash_components(spark, make, small):
     assert simhash.near_duplicates(make(texts).limit(0)).count() == 0
 
 
+def test_numbers_from_pivot_distances():
+    """All of the numbers differ by the differing bits in sum at most; those of one bit by just as many."""
+    r = np.random.default_rng(5)
+    x = r.integers(0, 1 << 63, 500, dtype=np.uint64)
+    y = x.copy()
+    for _ in range(3):
+        y ^= np.uint64(1) << r.integers(0, 64, 500).astype(np.uint64)
+    for width in (1, 2):
+        parts = lambda v: (v[:, None] >> np.arange(0, 64, width, dtype=np.uint64)) & np.uint64((1 << width) - 1)  # noqa: B023, E731
+        apart = np.abs(parts(simhash.packed_numbers(x, width)).astype(int) - parts(simhash.packed_numbers(y, width)).astype(int)).sum(axis=1)
+        bits = np.bitwise_count(x ^ y)
+        assert (apart <= bits).all() and (width == 2 or (apart == bits).all())
+    masks = simhash.block_masks(6, 3)
+    two = zip(*(simhash.packed_numbers(v, 2).tolist() for v in (x, y)), strict=True)
+    assert len(masks) == 20 and all(any(a & m == b & m for m in masks) for a, b in two)
+
+
 @pytest.mark.parametrize("group", [12, 1024])
 def test_simhash_links_of_dense_groups(spark, group):
     """Many fingerprints within few bits of each other; with a small group limit keys are split again and again."""
@@ -99,7 +118,7 @@ def test_pivots_discard_no_link():
 def test_keep_first(spark, make):
     texts = near_texts(20)
     rows = [(5, texts[0]), (2, texts[0]), (9, "quite another text it is"), (9, "quite another text it is"), (7, None), (8, "")]
-    kept = simhash.keep_first(make(rows)).collect()
+    kept = nearcopies.keep_first(make(rows)).collect()
     assert sorted(r.doc_id for r in kept) == [2, 7, 9] and kept[0].start == "s"
 
 
@@ -206,33 +225,95 @@ def test_signature_likeness():
     assert ctph.fingerprint(data) == ctph.fingerprint(bytes(data))
 
 
-def brute_lines(rows, least=5):
-    seen, out = {}, []
-    for d, t in sorted(((d, t or "") for d, t in rows), key=lambda x: (x[0], xxhash.xxh3_128_digest(x[1].encode()))):
-        kept, at, spans = [], 0, []
-        for line in t.split("\n"):
-            w = b" ".join(line.encode().lower().split())
-            if len(w.split()) >= least and w in seen:
-                spans.append((at, at + len(line), seen[w]))
-            else:
-                seen.setdefault(w, d)
-                kept.append(line)
-            at += len(line) + 1
-        out.append((d, tuple(spans), "\n".join(kept)))
+def brute_units(text, least=10):
+    """(start, stop) of units, word by word."""
+    words = [m.span() for m in re.finditer(r"[^ \t\r\n\f\v]+", text)]
+    if len(words) < least:
+        return {(words[0][0], words[-1][1])} if words else set()
+    gap = lambda i: text[words[i][1] : words[i + 1][0]] if i + 1 < len(words) else "\n\n"
+    ends_line = ["\n" in gap(i) for i in range(len(words))]
+    ends_sentence = [gap(i).count("\n") > 1 or re.search("[.!?][\"'”’»)\\]]*$", text[slice(*words[i])]) is not None for i in range(len(words))]
+    out = set()
+    for i in range(len(words)):
+        at_line, at_sentence = i == 0 or ends_line[i - 1], i == 0 or ends_sentence[i - 1]
+        for ok, ends in ((at_line, ends_line), (at_line or at_sentence, ends_sentence)):
+            stop = next((j for j in range(i + least - 1, len(words)) if ends[j]), None) if ok else None
+            if stop is not None:
+                out.add((words[i][0], words[stop][1]))
+    for starts in (ends_line, [x or y for x, y in zip(ends_line, ends_sentence, strict=True)]):
+        i = max(i for i in range(len(words) - least + 1) if i == 0 or starts[i - 1])
+        out.add((words[i][0], words[-1][1]))
+    return out
+
+
+def brute_dedup(rows, least=10):
+    """Removed units and what is left, over rows of different (doc_id, text)."""
+    every = [(d, mark, a, b, " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), t[a:b]).split())) for d, mark, t in rows for a, b in brute_units(t, least)]
+    first = {}
+    for d, mark, a, b, u in sorted(every):
+        first.setdefault(u, (d, mark, a, b))
+    out = []
+    for d, mark, t in rows:
+        spans = set()
+        for d2, mark2, a, b, u in every:
+            keep = first[u]
+            if (d2, mark2) == (d, mark) and keep[:3] != (d, mark, a):
+                a = max(a, keep[3]) if keep[:2] == (d, mark) else a
+                if a < b:
+                    spans.add((a, b, keep[0]))
+        gone = np.zeros(len(t) + 1, bool)
+        for a, b, _ in spans:
+            gone[a:b] = True
+        for m in re.finditer(r"[ \t\r\n\f\v]+", t):  # white space between removed units
+            if m.start() and gone[m.start() - 1] and gone[m.end()]:
+                gone[m.start() : m.end()] = True
+        kept, i = "", 0
+        while i < len(t):
+            if not gone[i]:
+                kept += t[i]
+                i += 1
+                continue
+            while i < len(t) and gone[i]:
+                i += 1
+            kept = kept.rstrip(" \t")
+            if not kept or kept.endswith("\n"):
+                i += len(re.match(r"[ \t\r]*\n?", t[i:])[0])
+        out.append((d, tuple(sorted(spans)), kept))
     return sorted(out)
 
 
-def test_lines(spark, make, small):
-    line = [f"this is  the Line number {i} of them" for i in range(6)]
-    rows = [(4, f"{line[0]}\nshort\n{line[1]}"), (2, f"{line[1].upper()}\nshort\n{line[2]}\n{line[2]}"), (9, line[2]), *((20 + i, t) for i, t in enumerate(small))]
+def marked(spark, rows):
+    """(doc_id, mark, text) as the operator marks them."""
+    df = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string").selectExpr("doc_id", "xxhash64(coalesce(text, '')) m", "coalesce(text, '') t")
+    return [tuple(r) for r in df.collect()]
+
+
+def test_units(spark, make, small):
+    line = [f"this is  the Line number {i} of them, to which a few words come" for i in range(6)]
+    passage = " ".join(f"It is said of word{i} that word{i + 1} and so on. Yes." for i in range(12))
+    wrapped = passage.replace(" and", "\nand").replace("that ", "that\n")
+    rows = [(4, f"{line[0]}\nshort\n{line[1]}"), (2, f"{line[1].upper()}\nshort\n{line[2]}\n{line[2]}\n  {line[0]}"), (9, line[2]), (11, f"Before it. {passage} After it stands more."), (12, f"another\nbeginning here and {wrapped}\n\nThe end."), (13, passage), (14, "Hm. " * 60)]
+    rows += [(20 + i, t) for i, t in enumerate(t for t in small if t is None or len(t) < 1000)]
     got = unitdedup.remove_repeats(make(rows)).collect()
-    assert sorted((r.doc_id, tuple((s.start, s.stop, s.kept_in) for s in r.removed or ()), r.kept_text) for r in got) == brute_lines(rows)
+    found = sorted((r.doc_id, tuple((s.start, s.stop, s.kept_in) for s in r.removed or ()), r.kept_text) for r in got)
+    want = brute_dedup(marked(spark, rows))
+    assert found == want
+    kept = {d: t for d, _, t in found}
+    assert kept[13] == "Yes." and kept[9] == "" and kept[12] == "another\nbeginning here and It is said of word0 that\nword1\nand so on. Yes.\n\nThe end." and kept[11].startswith("Before it.")
     assert unitdedup.remove_repeats(make(rows).limit(0)).count() == 0
+    odd = unitdedup.remove_repeats(make([*small, (None, line[0]), (None, line[0]), (3, line[0]), (3, line[1])])).collect()
+    assert len(odd) == len(small) + 4 and sorted(r.kept_text for r in odd if r.doc_id is None) == [line[0]] * 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("ab.! \n\t)"), max_size=80))
+def test_units_of_any_text(text):
+    assert unitdedup.spans_of_units(text, 3) == brute_units(text, 3)
 
 
 def test_line_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    want = {d: (len(s), ",".join(f"{a}:{b}" for a, b, _ in s), [k for *_, k in s], len(t), hashlib.sha256(t.encode()).hexdigest()) for d, s, t in brute_lines(rows)}
+    want = {d: (len(s), ",".join(f"{a}:{b}" for a, b, _ in s), [k for *_, k in s], len(t), hashlib.sha256(t.encode()).hexdigest()) for d, s, t in brute_dedup(marked(spark, rows))}
     got = {r.doc_id: (r.n_removed, r.removed_spans, r.kept_in, r.n_chars_kept, r.kept_sha256) for r in queries.op10_line_dedup(spark, sf).collect()}
     assert got == want

@@ -1,15 +1,20 @@
 """Near-duplicates by SimHash fingerprints, linked through pivot distance tables.
 
 Each distinct fingerprint has a row of Hamming distances to many fixed reference fingerprints (the pivots). Two
-fingerprints at d differing bits have rows that differ by d at most in every coordinate, so a pair whose largest
-coordinate difference is above the limit is discarded, and only survivors are compared bit by bit.
+fingerprints at d differing bits have rows that differ by d at most in every coordinate.
 
-Which pairs are looked at: the 64 bits are cut into `blocks` blocks; at most `limit` differing bits leave at least
-blocks - limit of them alike, so fingerprints that may link share a key in one of the tables, each of which takes the
-bits of blocks - limit blocks. A key that more than `group` fingerprints share (counted with map-side aggregation
-first) is split: its free bits are cut into limit + 1 parts, one of which must be alike, and so on until it is small.
-Since distinct fingerprints with few free bits are few, this ends, nothing is dropped, and no task takes an unbounded
-group. Within a group the links leave as a spanning forest, never as all pairs; the components are those of all links.
+Candidates come from the distances to a family of pivots, a centre and its neighbours at two flipped bits each, all different
+bits. The distance to the centre less that to a neighbour tells how many of the two bits differ from the centre's: 0, 1 or 2.
+Over the 32 neighbours these numbers differ by d in sum at most, so for a pair within `limit` bits all but `limit` are
+equal. They are cut into `blocks` blocks, and a pair shares a key in one of the tables, each of which takes the numbers of
+blocks - limit blocks. A key that more than `group` fingerprints share (counted with map-side aggregation first) is
+split: its free numbers are cut into limit + 1 parts, one of which must be alike, and so on; when none is free, the same goes on with
+the neighbours of the centre at one flipped bit each. Distinct fingerprints differ in one of those, so this ends, nothing is
+dropped, and no task takes an unbounded group.
+
+Within a key, a pair whose rows of distances to `n_pivots` further pivots differ by more than the limit in any coordinate is
+discarded, and the survivors are compared bit by bit. The links leave as a spanning forest, never as all pairs; the
+components are those of all links.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any other. Equal
 fingerprints are one node, so copies and repeated rows are never paired. Every input row has one result row. A null
@@ -28,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.llm.common import chunks, clean_documents, materialise
-from voxmill.llm.components import components
-from voxmill.llm.nearcopies import keep_first  # noqa: F401 - what used to stand here
+from voxmill.operators.graph import star_components as components
 
 SHINGLE, SEED, BITS = 3, 42, 64
+ALL = (1 << BITS) - 1
 
 
 def fingerprint_texts(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
@@ -77,6 +82,9 @@ def pivots(count: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+CENTRE = pivots(1)
+
+
 def pivot_table(fp: np.ndarray, refs: np.ndarray) -> np.ndarray:
     """Hamming distances, one row for each reference."""
     return np.bitwise_count(fp[None, :] ^ refs[:, None]).astype(np.int8)
@@ -123,15 +131,38 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(x, r) for x in list(up) if (r := root(x)) != x]
 
 
+def neighbours(width: int) -> np.ndarray:
+    """The centre and its neighbours at `width` flipped bits each; all bits are flipped in one of them."""
+    step = BITS // width
+    flips = np.array([sum(1 << (k + j * step) for j in range(width)) for k in range(step)], np.uint64)
+    return np.concatenate([CENTRE, CENTRE ^ flips])
+
+
+def packed_numbers(fp: np.ndarray, width: int) -> np.ndarray:
+    """For each neighbour how many of its bits differ from the centre's, from the distances alone; `width` bits to a number."""
+    rows = pivot_table(fp, neighbours(width)).astype(np.int64)
+    numbers = (rows[0] - rows[1:] + width) // 2
+    out = np.zeros(len(fp), np.uint64)
+    for k, own in enumerate(numbers):
+        out |= own.astype(np.uint64) << np.uint64(k * width)
+    return out
+
+
 def block_masks(blocks: int, limit: int) -> list[int]:
-    cuts = [round(k * BITS / blocks) for k in range(blocks + 1)]
-    part = [sum(1 << b for b in range(cuts[k], cuts[k + 1])) for k in range(blocks)]
+    """Masks over the numbers of the neighbours at two bits."""
+    n = BITS // 2
+    cuts = [round(k * n / blocks) for k in range(blocks + 1)]
+    part = [sum(3 << 2 * b for b in range(cuts[k], cuts[k + 1])) for k in range(blocks)]
     return [sum(part[k] for k in own) for own in combinations(range(blocks), blocks - limit)]
 
 
-def finer_masks(mask: int, limit: int) -> list[int]:
-    free = [b for b in range(BITS) if not mask >> b & 1]
-    return [mask | sum(1 << b for b in free[k :: limit + 1]) for k in range(limit + 1)]
+def finer_masks(two: int, one: int, limit: int) -> list[tuple[int, int]]:
+    """The masks (over numbers of two bits, of one bit) that split a key of masks (two, one)."""
+    free = [k for k in range(BITS // 2) if not two >> 2 * k & 3]
+    if free:
+        return [(two | sum(3 << 2 * k for k in free[j :: limit + 1]), one) for j in range(min(limit + 1, len(free)))]
+    free = [k for k in range(BITS) if not one >> k & 1]
+    return [(two, one | sum(1 << k for k in free[j :: limit + 1])) for j in range(min(limit + 1, len(free)))]
 
 
 def signed(x: int) -> int:
@@ -143,20 +174,20 @@ def fingerprint_links(distinct: DataFrame, limit: int = 3, blocks: int = 6, grou
     spark, refs = distinct.sparkSession, pivots(n_pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((3, 0), np.int64)
+        held = np.zeros((5, 0), np.int64)
 
         def linked(rows):
-            mask, key, fp = rows
-            new = np.flatnonzero((np.diff(mask) != 0) | (np.diff(key) != 0)) + 1
+            new = np.flatnonzero((np.diff(rows[:4]) != 0).any(axis=0)) + 1
+            fp = rows[4]
             i, j = links(fp.view(np.uint64), np.concatenate([[0], new]), refs, limit)
             pairs = forest(fp[i], fp[j])
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:  # sorted by group; the last group of a batch may go on in the next
-            rows = np.concatenate([held, np.stack([np.asarray(batch.column(c)) for c in ("mask", "key", "fp")])], axis=1)
+            rows = np.concatenate([held, np.stack([np.asarray(batch.column(c)) for c in ("m2", "m1", "k2", "k1", "fp")])], axis=1)
             if not rows.shape[1]:
                 continue
-            last = np.flatnonzero((rows[0] != rows[0, -1]) | (rows[1] != rows[1, -1]))
+            last = np.flatnonzero((rows[:4] != rows[:4, -1:]).any(axis=0))
             cut = int(last[-1]) + 1 if len(last) else 0
             held = rows[:, cut:].copy()
             if cut:
@@ -164,29 +195,38 @@ def fingerprint_links(distinct: DataFrame, limit: int = 3, blocks: int = 6, grou
         if held.shape[1]:
             yield linked(held)
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.asarray(batch.column("fp")).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (fp, packed_numbers(fp, 2), packed_numbers(fp, 1))], names=["fp", "two", "one"])
+
+    # dealt out before each row is copied once for each table
+    known = materialise(distinct.select("fp").repartition("fp").mapInArrow(numbered, "fp long, two long, one long"), "numbers")
     first = [F.lit(signed(m)) for m in block_masks(blocks, limit)]
-    keyed = distinct.select("fp", F.explode(F.array(*first)).alias("mask")).select("mask", F.expr("fp & mask").alias("key"), "fp")
+    keyed = known.select("fp", "two", "one", F.explode(F.array(*first)).alias("m2"), F.lit(0).cast("long").alias("m1"))
     out = None
     while True:
-        sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-        shared = materialise(keyed.join(sizes, ["mask", "key"]), "keyed")
-        few = shared.where(F.col("n") <= group).select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
+        keyed = keyed.withColumn("k2", F.expr("two & m2")).withColumn("k1", F.expr("one & m1"))
+        sizes = keyed.groupBy("m2", "m1", "k2", "k1").agg(F.count("*").alias("n")).where("n > 1")
+        shared = materialise(keyed.join(sizes, ["m2", "m1", "k2", "k1"]), "keyed")
+        key = ["m2", "m1", "k2", "k1"]
+        few = shared.where(F.col("n") <= group).select(*key, "fp").repartition(*key).sortWithinPartitions(*key)
         made = materialise(few.mapInArrow(run, "a long, b long"), "links")
         out = made if out is None else out.union(made)
         many = shared.where(F.col("n") > group)
         if many.isEmpty():
             return out
         # the masks of a level are as many as the choices of blocks allow, whatever the data
-        hot = [r[0] & (1 << BITS) - 1 for r in many.select("mask").distinct().collect()]
-        pairs = [(signed(old), signed(m)) for old in hot for m in finer_masks(old, limit)]
-        finer = F.broadcast(spark.createDataFrame(pairs, "mask long, finer long"))
-        keyed = many.join(finer, "mask").select(F.col("finer").alias("mask"), F.expr("fp & finer").alias("key"), "fp").distinct()
+        hot = many.select("m2", "m1").distinct().collect()
+        masks = [(*old, *map(signed, new)) for old in hot for new in finer_masks(old[0] & ALL, old[1] & ALL, limit)]
+        finer = F.broadcast(spark.createDataFrame(masks, "m2 long, m1 long, f2 long, f1 long"))
+        keyed = many.join(finer, ["m2", "m1"]).select("fp", "two", "one", F.col("f2").alias("m2"), F.col("f1").alias("m1")).distinct()
 
 
 def near_duplicates(df: DataFrame, limit: int = 3) -> DataFrame:
     """doc_id, fp (signed long) and component_id (the least doc_id of the document's component) for each row."""
     docs = materialise(fingerprints(df), "simhash")
-    nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     roots = components(fingerprint_links(nodes.select("fp"), limit))
     grown = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grown.groupBy("root").agg(F.min("first").alias("component_id"))
