@@ -58,33 +58,52 @@ def test_operator(spark, make, small):
     assert bpe.encode_decode(df, PATH, ids="n_chars", decoded=None).columns.count("n_chars") == 1
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 37), max_size=700))
-def test_wavelet_matrix(values):
-    a = np.array(values, np.uint16)
-    wm, docs, counts = wavelet.unpack(wavelet.pack(a, [1, None][1:] + [5] if False else [5], np.array([len(a)]), 6))
-    assert wm.values().tolist() == values and docs == [5] and counts.tolist() == [len(a)]
-    for x in {*values[:3], 40, 37}:
+def check_matrix(wm, values, step):
+    assert wm.access_many(np.arange(len(values))).tolist() == values
+    for x in {*values[:3], 40, 37, -1, 64}:
         at = [i for i, v in enumerate(values) if v == x]
-        assert wm.count(x) == len(at) and wm.locate(x) == at and wm.select(x, len(at)) == -1
+        assert wm.count(x) == len(at) and wm.select(x, len(at)) == -1 == wm.select(x, -1)
+        assert wm.locate(x)[:: step] == at[:: step]
         for i in (0, len(values) // 2, len(values)):
             assert wm.rank(x, i) == values[:i].count(x)
-    for i in range(0, len(values), 97):
+        for k in range(0, len(at), step):
+            assert wm.select(x, k) == at[k]
+    for i in range(0, len(values), 97 * step):
         assert wm.access(i) == values[i]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 37), max_size=700))
+def test_wavelet_matrix(values):
+    wm, docs, counts = wavelet.unpack(wavelet.pack(np.array(values, np.uint16), [5], np.array([len(values)]), 6))
+    assert docs == [5] and counts.tolist() == [len(values)]
+    check_matrix(wm, values, 1)
+
+
+def test_blocks_are_opened_singly(monkeypatch):
+    r = np.random.default_rng(3)
+    values = np.minimum(r.geometric(0.2, 30_000), 38) - 1
+    monkeypatch.setattr(wavelet, "PLANE_WORDS", 64)
+    monkeypatch.setattr(wavelet, "SAMPLE", 128)
+    file = wavelet.pack(values.astype(np.uint16), [None, 1], np.array([10, 29_990]), 6)
+    wm, docs, _ = wavelet.unpack(file)
+    assert docs == [None, 1] and wm.access(12_345) == values[12_345]
+    assert all(len(p.words.open) == 1 and len(p.words.blocks) == 8 for p in wm.planes)
+    check_matrix(wm, values.tolist(), 53)
+
+
 @pytest.mark.parametrize("size", [50, 1 << 20])
 def test_shards(spark, make, small, size):
-    rows = [(i * 3 % 10, t) for i, t in enumerate(small)] + [(None, "no id"), (3, "again")]
+    rows = [(i * 3 % 10, t) for i, t in enumerate(small)] + [(None, "no id"), (3, "again"), (3, "again")]
     files = wavelet.write_shards(make(rows), PATH, shard_tokens=size)
-    got = wavelet.documents_from_shards(files).orderBy("start").collect()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    got = wavelet.read_shards(files).orderBy("start").collect()
+    coded = [(d, np.array([*want(t or ""), 0], "<u2").tobytes()) for d, t in rows]
     start = 0
-    for r, (d, t) in zip(got, order, strict=True):
-        e = np.array([*want(t or ""), 0], "<u4")
-        assert (r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) == (d, start, len(e), zlib.crc32(e.tobytes()))
+    for r, (d, e) in zip(got, sorted(coded, key=lambda x: (x[0] is not None, x[0] or 0, x[1])), strict=True):
+        e = np.frombuffer(e, "<u2").astype("<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids, r.ids_crc32) == (d, start, len(e), e.tobytes(), zlib.crc32(e.tobytes()))
         start += len(e)
-    assert wavelet.documents_from_shards(wavelet.write_shards(make(rows).limit(0), PATH)).count() == 0
+    assert wavelet.read_shards(wavelet.write_shards(make(rows).limit(0), PATH)).count() == 0
 
 
 def test_digests_of_a_query(spark):
@@ -92,6 +111,11 @@ def test_digests_of_a_query(spark):
 
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    start = 0
+    for r in sorted(queries.op8_wavelet(spark, sf).collect(), key=lambda r: r.doc_id):
+        a = np.array([*want(texts[r.doc_id]), 0], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(a), zlib.crc32(a.tobytes()))
+        start += len(a)
     for r in queries.op9_bpe(spark, sf).collect():
         a = np.array(want(texts[r.doc_id]), "<u4")
         assert (r.n_tokens, r.ids_sha256) == (len(a), hashlib.sha256(a.tobytes()).hexdigest())

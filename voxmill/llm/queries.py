@@ -58,8 +58,8 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = wavelet.documents_from_shards(wavelet.write_shards(table(spark, sf_dir, "documents"), TOKENIZER))
-    return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    files = wavelet.write_shards(table(spark, sf_dir, "documents"), TOKENIZER)
+    return wavelet.read_shards(files, digest_only=True)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

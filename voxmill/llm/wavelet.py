@@ -2,15 +2,17 @@
 
 A shard holds the ids of consecutive documents in ascending doc_id order, each closed by an end id. Its file is
 
-    magic "WMX1" | header length (u32) | header (JSON: tokens, documents, bits, zeros of each plane, block sizes)
-    | zstd block of doc_id (i64) | zstd block of tokens per document (u32) | one zstd block for each bit plane, high first
+    magic "WMX2" | header length (u32) | header (JSON: tokens, documents, bits, zeros of each plane, sizes of the parts)
+    | doc_id (i64) | tokens per document (u32) | for each bit plane, highest first: the block of every 4096th zero, the same of
+    ones (u32), the ones before each block of 512 bits (u64), and the plane's words in parts of 64 KiB
 
-Access, rank (count of an id in a prefix), select (place of the k-th occurrence), count and locate work on the loaded
-file alone. Shards are stored as binary rows of a table in the shared folder, so that any store Spark can write
+each part compressed by itself (zstd). Access, rank (count of an id in a prefix), select (place of the k-th occurrence),
+count and locate work on the file alone and open just the parts they touch; a document's ids are read by access at its
+places. Shards are stored as binary rows of a table in the shared folder, so that any store Spark can write
 takes them; at most `shard_tokens` tokens (and at least one document) go into one, which bounds a task's memory.
 
 Defined results: a null or empty text is one end id; repeated doc_ids are kept, each row on its own, in the order of
-(doc_id, text); null doc_ids come first; an empty table has no shards; other columns are ignored.
+(doc_id, ids as bytes); null doc_ids come first; an empty table has no shards; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,70 +32,110 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxmill.llm.bpe import PIECES, UNSURE
-from voxmill.llm.common import clean_documents, materialise
+from voxmill.llm.common import chunks, clean_documents, materialise
 
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
 #: Entries of each lookup table of a worker process. Beyond it the table starts anew; this bounds memory and changes no result.
 CACHED_PIECES = 700_000
-#: Bits of a plane for each stored count of ones.
-BLOCK = 512
+#: Bits of a plane for each stored count of ones, ones (or zeros) for each stored place, and words of a block that is compressed by itself.
+BLOCK, SAMPLE, PLANE_WORDS = 512, 4096, 8192
+NONE = np.zeros(0, "<u8")
+
+
+class Plane:
+    """One bit plane: its words, the ones before each block of BLOCK bits, and the block of every SAMPLE-th one and zero."""
+
+    def __init__(self, n: int, words: Words, ranks: np.ndarray, samples: tuple[np.ndarray, np.ndarray]):
+        self.n, self.words, self.ranks, self.samples = n, words, ranks, samples
+
+    def ones(self, i: int) -> int:
+        """Ones among the first i bits: a stored count and the words of one block."""
+        block, word = i // BLOCK, i // 64
+        tail = self.words.cut(block * (BLOCK // 64), min(word + 1, self.words.n)) if i % BLOCK else NONE
+        got = int(self.ranks[block])
+        if len(tail):
+            whole = word - block * (BLOCK // 64)
+            got += int(np.bitwise_count(tail[:whole]).sum())
+            got += (int(tail[whole]) & ((1 << i % 64) - 1)).bit_count() if i % 64 else 0
+        return got
+
+    def bit(self, i: int) -> int:
+        return int(self.words.cut(i // 64, i // 64 + 1)[0]) >> i % 64 & 1
+
+    def place(self, value: int, nth: int) -> int:
+        """Where the nth (from 0) bit of that value is; the caller knows that there is one."""
+        sample = self.samples[value]
+        k = nth // SAMPLE
+        lo, hi = int(sample[k]), int(sample[k + 1]) if k + 1 < len(sample) else len(self.ranks) - 1
+        before = self.ranks[lo : hi + 1].astype(np.int64)
+        if not value:
+            before = np.arange(lo, hi + 1) * BLOCK - before
+        block = lo + int(np.searchsorted(before, nth, side="right")) - 1
+        first = block * (BLOCK // 64)
+        bits = unpacked(self.words.cut(first, min(first + BLOCK // 64, self.words.n)), self.n - block * BLOCK)
+        return block * BLOCK + int(np.flatnonzero(bits == value)[nth - int(before[block - lo])])
+
+
+def unpacked(words: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(words.view(np.uint8), bitorder="little", count=min(n, 64 * len(words)))
+
+
+class Words:
+    """The 64-bit words of a plane, in blocks that are decompressed one by one as they are asked for."""
+
+    def __init__(self, n: int, blocks: list):
+        self.n, self.blocks, self.open = n, blocks, {}
+
+    def block(self, k: int) -> np.ndarray:
+        if k not in self.open:
+            self.open[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.blocks[k]), "<u8")
+        return self.open[k]
+
+    def cut(self, a: int, b: int) -> np.ndarray:
+        if a >= b:
+            return NONE
+        i, j = a // PLANE_WORDS, (b - 1) // PLANE_WORDS
+        if i == j:
+            return self.block(i)[a - i * PLANE_WORDS : b - i * PLANE_WORDS]
+        return np.concatenate([self.block(k) for k in range(i, j + 1)])[a - i * PLANE_WORDS : b - i * PLANE_WORDS]
 
 
 class WaveletMatrix:
-    """Bit planes of a sequence of unsigned integers."""
-
-    def __init__(self, n: int, bits: int, zeros: list[int], planes: list[np.ndarray]):
-        self.n, self.bits, self.zeros, self.planes, self._ranks = n, bits, zeros, planes, {}
-
-    @classmethod
-    def build(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
-        now, zeros, planes = values, [], []
-        for level in range(bits - 1, -1, -1):
-            one = (now >> level) & 1 == 1
-            planes.append(np.packbits(one))
-            low = now[~one]
-            zeros.append(len(low))
-            now = np.concatenate([low, now[one]])
-        return cls(len(values), bits, zeros, planes)
-
-    def values(self) -> np.ndarray:
-        """The whole sequence: the lowest plane's order is undone plane by plane."""
-        now = np.zeros(self.n, np.uint32 if self.bits > 16 else np.uint16)
-        for k in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[k], count=self.n).view(bool)
-            up = np.empty_like(now)
-            up[~one] = now[: self.zeros[k]]
-            up[one] = now[self.zeros[k] :] | now.dtype.type(1 << (self.bits - 1 - k))
-            now = up
-        return now
-
-    def _ones(self, k: int, i: int) -> int:
-        """Ones among the first i bits of plane k."""
-        if k not in self._ranks:
-            per = np.add.reduceat(np.bitwise_count(self.planes[k]).astype(np.int64), np.arange(0, len(self.planes[k]), BLOCK // 8)) if self.n else np.zeros(0, np.int64)
-            self._ranks[k] = np.concatenate([[0], np.cumsum(per)])
-        b = i // BLOCK
-        tail = np.unpackbits(self.planes[k][b * BLOCK // 8 : (i + 7) // 8])[: i - b * BLOCK]
-        return int(self._ranks[k][b]) + int(tail.sum())
+    """A sequence of unsigned integers as bit planes, highest first; the zeros of a plane lead the next one in order."""
+
+    def __init__(self, n: int, bits: int, zeros: list[int], planes: list[Plane]):
+        self.n, self.bits, self.zeros, self.planes = n, bits, zeros, planes
 
     def access(self, i: int) -> int:
         out = 0
-        for k in range(self.bits):
-            bit = (self.planes[k][i >> 3] >> (7 - (i & 7))) & 1
-            ones = self._ones(k, i)
-            i = self.zeros[k] + ones if bit else i - ones
-            out = out << 1 | int(bit)
+        for zeros, plane in zip(self.zeros, self.planes, strict=True):
+            bit, ones = plane.bit(i), plane.ones(i)
+            i = zeros + ones if bit else i - ones
+            out = out << 1 | bit
+        return out
+
+    def access_many(self, at: np.ndarray) -> np.ndarray:
+        """The values at many places, all of them one plane further at a time; a plane's ranks are unfolded once for all."""
+        out = np.zeros(len(at), np.uint32 if self.bits > 16 else np.uint16)
+        at = at.astype(np.int32 if self.n < 1 << 31 else np.int64)
+        for zeros, plane in zip(self.zeros, self.planes, strict=True):
+            bits = unpacked(plane.words.cut(0, plane.words.n), self.n)
+            # where each bit goes: ones after all zeros, both in their order
+            ones = np.cumsum(bits, dtype=at.dtype)
+            goes = np.where(bits.view(bool), ones + at.dtype.type(zeros - 1), np.arange(self.n, dtype=at.dtype) - ones)
+            out = (out << out.dtype.type(1)) | bits[at]
+            at = goes[at]
         return out
 
     def _narrow(self, value: int, lo: int, hi: int) -> tuple[int, int]:
-        for k in range(self.bits):
-            a, b = self._ones(k, lo), self._ones(k, hi)
-            lo, hi = (self.zeros[k] + a, self.zeros[k] + b) if value >> (self.bits - 1 - k) & 1 else (lo - a, hi - b)
+        for k, (zeros, plane) in enumerate(zip(self.zeros, self.planes, strict=True)):
+            a, b = plane.ones(lo), plane.ones(hi)
+            lo, hi = (zeros + a, zeros + b) if value >> (self.bits - 1 - k) & 1 else (lo - a, hi - b)
         return lo, hi
 
     def rank(self, value: int, i: int) -> int:
         """Occurrences of value among the first i."""
-        if value >> self.bits:
+        if value < 0 or value >> self.bits:
             return 0
         lo, hi = self._narrow(value, 0, i)
         return hi - lo
@@ -101,47 +143,78 @@ class WaveletMatrix:
     def count(self, value: int) -> int:
         return self.rank(value, self.n)
 
-    def select(self, value: int, nth: int) -> int:
-        """Place of the nth (from 0) occurrence of value; -1 if there are fewer."""
-        if not 0 <= nth < self.count(value):
-            return -1
-        at = self._narrow(value, 0, self.n)[0] + nth
+    def _up(self, value: int, at: int) -> int:
         for k in range(self.bits - 1, -1, -1):
             bit = value >> (self.bits - 1 - k) & 1
-            want = at - self.zeros[k] + 1 if bit else at + 1
-            lo, hi = 0, self.n
-            while lo < hi:
-                mid = (lo + hi) // 2
-                ones = self._ones(k, mid + 1)
-                lo, hi = (lo, mid) if (ones if bit else mid + 1 - ones) >= want else (mid + 1, hi)
-            at = lo
+            at = self.planes[k].place(bit, at - self.zeros[k] if bit else at)
         return at
 
+    def select(self, value: int, nth: int) -> int:
+        """Place of the nth (from 0) occurrence of value; -1 if there are fewer."""
+        if nth < 0 or value < 0 or value >> self.bits:
+            return -1
+        lo, hi = self._narrow(value, 0, self.n)
+        return self._up(value, lo + nth) if lo + nth < hi else -1
+
     def locate(self, value: int) -> list[int]:
-        return [self.select(value, k) for k in range(self.count(value))]
+        """All places of value, in order."""
+        if value < 0 or value >> self.bits:
+            return []
+        lo, hi = self._narrow(value, 0, self.n)
+        return [self._up(value, k) for k in range(lo, hi)]
+
+
+def build(values: np.ndarray, bits: int) -> tuple[list[int], list[np.ndarray]]:
+    """The zeros of each plane and its bits, packed in little-endian 64-bit words."""
+    now, zeros, planes = values, [], []
+    for level in range(bits - 1, -1, -1):
+        one = (now & now.dtype.type(1 << level)).astype(bool)
+        packed = np.packbits(one, bitorder="little")
+        planes.append(np.pad(packed, (0, -len(packed) % 8)).view("<u8"))
+        low = now[~one]
+        zeros.append(len(low))
+        now = np.concatenate([low, now[one]])
+    return zeros, planes
 
 
 def pack(values: np.ndarray, doc_ids: list, counts: np.ndarray, bits: int) -> bytes:
-    z = zstandard.ZstdCompressor(level=1)
-    wm = WaveletMatrix.build(values, bits)
+    """The file of one shard."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    zeros, planes = build(values, bits)
     known = np.array([-1 if d is None else d for d in doc_ids], "<i8")
-    blocks = [z.compress(x.tobytes()) for x in (known, counts.astype("<u4"), *wm.planes)]
-    head = {"n": wm.n, "docs": len(doc_ids), "bits": bits, "zeros": wm.zeros, "null_docs": sum(d is None for d in doc_ids), "blocks": [len(b) for b in blocks]}
+    parts = [press(x.tobytes()) for x in (known, counts.astype("<u4"))]
+    for words in planes:
+        per = np.bitwise_count(np.pad(words, (0, -len(words) % (BLOCK // 64)))).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.int64)
+        ranks = np.concatenate([[0], np.cumsum(per)])
+        ends = np.minimum(np.arange(len(ranks)) * BLOCK, len(values)) - ranks  # zeros before each block
+        for before in (ends, ranks):  # the block of every SAMPLE-th zero, then one
+            parts.append(press((np.searchsorted(before, np.arange(0, before[-1], SAMPLE), side="right") - 1).astype("<u4").tobytes()))
+        parts.append(press(ranks.astype("<u8").tobytes()))
+        parts += [press(words[k : k + PLANE_WORDS].tobytes()) for k in range(0, len(words), PLANE_WORDS)]
+    head = {"n": len(values), "docs": len(doc_ids), "bits": bits, "zeros": zeros, "null_docs": sum(d is None for d in doc_ids), "parts": [len(p) for p in parts]}
     text = json.dumps(head).encode()
-    return b"".join([MAGIC, struct.pack("<I", len(text)), text, *blocks])
+    return b"".join([MAGIC, struct.pack("<I", len(text)), text, *parts])
 
 
 def unpack(file: bytes) -> tuple[WaveletMatrix, list, np.ndarray]:
+    """The matrix, whose planes are opened block by block as needed, the doc_ids and the tokens of each."""
     if file[:4] != MAGIC:
         raise ValueError("not a wavelet matrix file")
     size = struct.unpack_from("<I", file, 4)[0]
-    head, at, parts = json.loads(file[8 : 8 + size]), 8 + size, []
-    for b in head["blocks"]:
-        parts.append(zstandard.ZstdDecompressor().decompress(file[at : at + b]))
-        at += b
-    wm = WaveletMatrix(head["n"], head["bits"], head["zeros"], [np.frombuffer(p, np.uint8) for p in parts[2:]])
-    docs = np.frombuffer(parts[0], "<i8").tolist()
-    return wm, [None] * head["null_docs"] + docs[head["null_docs"] :], np.frombuffer(parts[1], "<u4")
+    head, at, parts, view = json.loads(file[8 : 8 + size]), 8 + size, [], memoryview(file)
+    for p in head["parts"]:
+        parts.append(view[at : at + p])
+        at += p
+    load = lambda part, kind: np.frombuffer(zstandard.ZstdDecompressor().decompress(part), kind)
+    n, take = head["n"], iter(parts[2:])
+    words = -(-n // 64)
+    planes = []
+    for _ in range(head["bits"]):
+        samples = load(next(take), "<u4"), load(next(take), "<u4")
+        ranks = load(next(take), "<u8")
+        planes.append(Plane(n, Words(words, [next(take) for _ in range(-(-words // PLANE_WORDS))]), ranks, samples))
+    docs = load(parts[0], "<i8").tolist()
+    return WaveletMatrix(n, head["bits"], head["zeros"], planes), [None] * head["null_docs"] + docs[head["null_docs"] :], load(parts[1], "<u4")
 
 
 class LibraryEncoder:
@@ -161,8 +234,7 @@ class LibraryEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.bits = max(1, (size - 1).bit_length())
-        self.dtype = np.dtype("<u2" if self.bits <= 16 else "<u4")
+        self.bits, self.dtype = id_width(source)
         self.coded = [np.array(i, self.dtype).tobytes() for i in range(size)]
         self.spaced = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -217,6 +289,14 @@ class LibraryEncoder:
         return self.of_pieces(self.split(text))
 
 
+def id_width(source: bytes) -> tuple[int, np.dtype]:
+    """Bits of the largest id of a tokenizer.json, and the kind that holds them."""
+    spec = json.loads(source)
+    top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens") or [])])
+    bits = max(1, top.bit_length())
+    return bits, np.dtype("<u2" if bits <= 16 else "<u4")
+
+
 _ENCODERS: dict[int, LibraryEncoder] = {}
 
 
@@ -228,60 +308,85 @@ def encoder(source: bytes) -> LibraryEncoder:
     return _ENCODERS[key]
 
 
-def write_shards(df: DataFrame, tokenizer_path: str, end_id: int = 0, shard_tokens: int = 4 << 20) -> DataFrame:
-    """Shard files in ascending doc_id order: shard_part, shard_seq (their order), n_tokens, n_docs, file (binary); written once and read back."""
+def encoded(df: DataFrame, tokenizer_path: str, end_id: int = 0, slice_bytes: int = 1 << 20) -> DataFrame:
+    """doc_id and ids (binary, little-endian, two bytes each if the vocabulary allows), the end id included."""
     with open(tokenizer_path, "rb") as f:
         source = df.sparkSession.sparkContext.broadcast(f.read())
-    docs = clean_documents(df)
-    ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seq = encoder(source.value), TaskContext.get().partitionId(), 0
+        enc = encoder(source.value)
         end = np.array([end_id], enc.dtype).tobytes()
-        ids, coded, total = [], [], 0
+        for batch in batches:
+            for part in chunks(batch, "text", slice_bytes):
+                ids = [enc.encode(t) + end for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return clean_documents(df).mapInArrow(run, "doc_id long, ids binary")
+
+
+def write_shards(df: DataFrame, tokenizer_path: str, end_id: int = 0, shard_tokens: int = 4 << 20) -> DataFrame:
+    """Shard files in ascending doc_id order, written once and read back.
+
+    shard_part, shard_seq (their order), part_start (tokens of its part before it), n_tokens, n_docs, file (binary).
+    Documents are encoded where they lie; only their ids are dealt out by ranges of doc_id.
+    """
+    with open(tokenizer_path, "rb") as f:
+        bits, dtype = id_width(f.read())
+    ids_of = materialise(encoded(df, tokenizer_path, end_id), "ids")
+    order = F.col("doc_id").asc_nulls_first()
+    ordered = ids_of.repartitionByRange(order).sortWithinPartitions(order, "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
+        docs, coded, total = [], [], 0
 
         def shard():
-            values = np.frombuffer(b"".join(coded), enc.dtype)
-            counts = np.array([len(c) for c in coded]) // enc.dtype.itemsize
-            file = pack(values, ids, counts, enc.bits)
-            return pa.RecordBatch.from_pydict({"shard_part": pa.array([part], pa.int64()), "shard_seq": pa.array([seq], pa.int64()), "n_tokens": pa.array([len(values)], pa.int64()), "n_docs": pa.array([len(ids)], pa.int64()), "file": pa.array([file], pa.binary())})
+            values = np.frombuffer(b"".join(coded), dtype)
+            file = pack(values, docs, np.array([len(c) for c in coded]) // dtype.itemsize, bits)
+            own = {"shard_part": part, "shard_seq": seq, "part_start": before, "n_tokens": len(values), "n_docs": len(docs)}
+            return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64()) for k, v in own.items()} | {"file": pa.array([file], pa.binary())})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                c = enc.encode(text.as_py()) + end
-                if ids and total + len(c) > shard_tokens * enc.dtype.itemsize:
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if docs and total + len(ids) > shard_tokens * dtype.itemsize:
                     yield shard()
-                    seq, ids, coded, total = seq + 1, [], [], 0
-                ids.append(doc_id)
-                coded.append(c)
-                total += len(c)
-        if ids:
+                    seq, before, docs, coded, total = seq + 1, before + total // dtype.itemsize, [], [], 0
+                docs.append(doc_id)
+                coded.append(ids)
+                total += len(ids)
+        if docs:
             yield shard()
 
-    files = ordered.mapInArrow(run, "shard_part long, shard_seq long, n_tokens long, n_docs long, file binary")
+    files = ordered.mapInArrow(run, "shard_part long, shard_seq long, part_start long, n_tokens long, n_docs long, file binary")
     return materialise(files, "wavelet")
 
 
-def read_shards(files: DataFrame) -> DataFrame:
-    """Per document, from the files alone: shard_part, shard_seq, doc_id, start (in the shard), n_tokens, ids (binary, little-endian u32)."""
+def read_shards(files: DataFrame, digest_only: bool = False) -> DataFrame:
+    """Per document, from the files alone: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, unless digest_only, ids.
+
+    ids: binary, little-endian unsigned 32-bit. The tokens of each part are summed over parts, of which there are as many as
+    partitions; that one small table meets the files before they are opened, so neither files nor ids are shuffled.
+    """
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, seq, file in zip(*(batch.column(c) for c in ("shard_part", "shard_seq", "file")), strict=True):
+            for before, file in zip(batch.column("before").to_pylist(), batch.column("file"), strict=True):
                 wm, doc_ids, counts = unpack(file.as_py())
-                values = wm.values().astype("<u4")
+                values = memoryview(wm.access_many(np.arange(wm.n)).astype("<u4")).cast("B")
                 stops = np.cumsum(counts, dtype=np.int64)
                 for a in range(0, len(doc_ids), 2000):
-                    b = min(a + 2000, len(doc_ids))
-                    starts = stops[a:b] - counts[a:b]
-                    ids = [values[s:e].tobytes() for s, e in zip(starts, stops[a:b], strict=True)]
-                    yield pa.RecordBatch.from_pydict({"shard_part": pa.array([part.as_py()] * (b - a), pa.int64()), "shard_seq": pa.array([seq.as_py()] * (b - a), pa.int64()), "doc_id": pa.array(doc_ids[a:b], pa.int64()), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(counts[a:b].astype(np.int64), pa.int64()), "ids": pa.array(ids, pa.binary())})
-
-    return files.select("shard_part", "shard_seq", "file").mapInArrow(run, "shard_part long, shard_seq long, doc_id long, start long, n_tokens long, ids binary")
-
-
-def documents_from_shards(files: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids. The running sum is over shards, one row each."""
-    order = Window.orderBy("shard_part", "shard_seq").rowsBetween(Window.unboundedPreceding, -1)
-    before = files.select("shard_part", "shard_seq", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("before"))
-    return read_shards(files).join(before, ["shard_part", "shard_seq"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
+                    own = slice(a, a + 2000)
+                    starts = stops[own] - counts[own]
+                    ids = [values[4 * s : 4 * e] for s, e in zip(starts.tolist(), stops[own].tolist(), strict=True)]
+                    cols = [doc_ids[own], starts + before, counts[own].astype(np.int64), [zlib.crc32(x) for x in ids]]
+                    if not digest_only:
+                        cols.append([bytes(x) for x in ids])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names=names[: len(cols)])
+
+    parts = files.groupBy("shard_part").agg(F.sum("n_tokens").alias("own"))
+    order = Window.orderBy("shard_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select("shard_part", F.coalesce(F.sum("own").over(order), F.lit(0)).alias("part_before"))
+    placed = files.join(F.broadcast(before), "shard_part").select((F.col("part_before") + F.col("part_start")).alias("before"), "file")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * (not digest_only))
