@@ -12,7 +12,7 @@ places. Shards are stored as binary rows of a table in the shared folder, so tha
 takes them; at most `shard_tokens` tokens (and at least one document) go into one, which bounds a task's memory.
 
 Defined results: a null or empty text is one end id; repeated doc_ids are kept, each row on its own, in the order of
-(doc_id, ids as bytes); null doc_ids come first; an empty table has no shards; other columns are ignored.
+(doc_id, text); null doc_ids come first; an empty table has no shards; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,21 +25,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxmill.llm.bpe import PIECES, UNSURE
-from voxmill.llm.common import chunks, clean_documents, materialise
+from voxmill.llm.bpe import ALIKE, PIECES, UNSURE
+from voxmill.llm.common import chunks, clean_documents, materialise, string_bytes
 
 MAGIC = b"WMX2"
 #: Entries of each lookup table of a worker process. Beyond it the table starts anew; this bounds memory and changes no result.
-CACHED_PIECES = 700_000
+CACHED_PIECES = 1_200_000
 #: Bits of a plane for each stored count of ones, ones (or zeros) for each stored place, and words of a block that is compressed by itself.
 BLOCK, SAMPLE, PLANE_WORDS = 512, 4096, 8192
 NONE = np.zeros(0, "<u8")
+#: Chunks in which white space touches a cut, or that are a line break alone.
+_SPACE = r"[ \t\f\r\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+LOOSE = f"^\n?({_SPACE}|$)|{_SPACE}$"
+UNSURE_RE2 = "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ALIKE if a != 0xE000) + "\\x{e000}-\\x{ffff}]"
 
 
 class Plane:
@@ -218,12 +223,13 @@ def unpack(file: bytes) -> tuple[WaveletMatrix, list, np.ndarray]:
 
 
 class LibraryEncoder:
-    """The tokenizers library's ids of whole texts, each distinct piece encoded once by the library and then looked up.
+    """The tokenizers library's ids of whole texts, each distinct chunk encoded once by the library and then looked up.
 
-    Byte-level BPE never merges across pieces, and the splitter always cuts before a space or line break that stands
-    between two other characters. So a text is cut there first, and what lies between two such cuts is looked up as a
-    whole. Texts with runs of white space are split into pieces one by one; texts with an added token, or with code
-    points that the two splitters may class differently, go to the library whole.
+    Byte-level BPE never merges across pieces, and the splitter always cuts before a space or a line break that stands
+    between two other characters. So a slice of texts is cut there, its distinct chunks are found by Arrow's dictionary coding,
+    and the ids of every chunk are put together by one take. A chunk is a word with the space or the line break before it.
+    Texts with runs of white space are split into pieces one by one; texts with an added token, or with code points that the
+    two splitters may class differently, go to the library whole.
     """
 
     def __init__(self, source: bytes):
@@ -235,14 +241,23 @@ class LibraryEncoder:
         self.tok.no_padding()
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.bits, self.dtype = id_width(source)
-        self.coded = [np.array(i, self.dtype).tobytes() for i in range(size)]
         self.spaced = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.split, self.pieces, self.lines, self.words = regex.compile(PIECES).findall, {}, {}, {}
+        self.split, self.pieces = regex.compile(PIECES).findall, {}
         self.line_break = self.whole("\n")
+        self.one_break = len(self.line_break) == self.dtype.itemsize
+        self.forget()
+
+    def forget(self) -> None:
+        """Starts the table of chunks anew: chunk to number, and the ids of all numbers end to end; number 0 has none."""
+        self.known: dict[str, int] = {}
+        self.coded = pa.array([b""], pa.large_binary())
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def whole(self, text: str) -> bytes:
-        return b"".join([self.coded[i] for i in self.tok.encode(text, add_special_tokens=False).ids])
+        return self.ids(text).tobytes()
 
     def of_pieces(self, out: list[str]) -> bytes:
         known = self.pieces
@@ -254,40 +269,69 @@ class LibraryEncoder:
             known.clear()
         return got
 
-    def learn(self, chunks: set[str], known: dict, lead: str) -> bool:
-        """Looks up new chunks; False if one touches white space, so that its neighbours matter."""
-        new = [c for c in chunks if c not in known]
-        if any(not c or c[0].isspace() or c[-1].isspace() for c in new):
-            return False
-        if not lead:
-            known.update((c, self.whole(c)) for c in new)
-        elif new:  # in one call: a chunk's first id, and no other of it, stands for a string with a leading space
-            ids = np.array(self.tok.encode(lead + lead.join(new), add_special_tokens=False).ids, self.dtype)
-            cuts, raw, size = (np.flatnonzero(self.spaced[ids]) * self.dtype.itemsize).tolist(), ids.tobytes(), self.dtype.itemsize
-            known.update((c, raw[i:j]) for c, i, j in zip(new, cuts, [*cuts[1:], len(ids) * size], strict=True))
-        return True
-
-    def encode(self, text: str) -> bytes:
+    def learn(self, new: pa.Array) -> None:
+        """Numbers new chunks: a word after a space, or a line break with the first word of its line.
+
+        All of a kind go to the library in one call. What begins each chunk, and nothing else of it, is an id of a string with a
+        leading space, or the line break's id. A chunk in which white space touches a cut gets the number 0.
+        """
+        loose = pc.match_substring_regex(new, LOOSE)
+        self.known.update(dict.fromkeys(new.filter(loose).to_pylist(), 0))
+        sound = new.filter(pc.invert(loose))
+        line = pc.starts_with(sound, "\n")
+        words, lines = sound.filter(pc.invert(line)).to_pylist(), sound.filter(line).to_pylist()
+        for own, joined, begins in ((words, " " + " ".join(words), self.spaced.__getitem__), (lines, "".join(lines), lambda ids: ids == int.from_bytes(self.line_break, "little"))):
+            if own:
+                ids = self.ids(joined)
+                cuts = np.append(np.flatnonzero(begins(ids)), len(ids)) * self.dtype.itemsize
+                base = len(self.coded)
+                made = pa.Array.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids)])
+                self.coded = pa.concat_arrays([self.coded, made])
+                self.known.update(zip(own, range(base, base + len(own)), strict=True))
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a slice."""
+        if not len(texts):
+            return []
+        hard = pc.match_substring_regex(texts, UNSURE_RE2)
+        for s in self.special:
+            hard = pc.or_(hard, pc.match_substring(texts, s))
+        hard = np.asarray(hard) | (not self.one_break)
+        if len(self.known) > CACHED_PIECES:
+            self.forget()
+        # each text begins like a line; the id of that line break is left out again
+        cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\n", texts, ""), "\n", " \n"), " ")
+        offsets = np.asarray(cut.offsets).astype(np.int64)
+        flat = cut.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        offsets -= offsets[0]
+        index = np.array(flat.indices)
+        # neither the empty chunk before each text's own line break nor chunks of texts that are not looked up need be known
+        use = ~np.repeat(hard, np.diff(offsets))
+        use[offsets[:-1]] = False
+        wanted = np.zeros(len(flat.dictionary), bool)
+        wanted[index[use]] = True
+        chunks_, known = flat.dictionary.filter(pa.array(wanted)), self.known
+        own = chunks_.to_pylist()
+        numbers = np.fromiter((known.get(c, -1) for c in own), np.int64, len(own))
+        if (numbers < 0).any():
+            self.learn(chunks_.filter(pa.array(numbers < 0)))
+            numbers = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
+        number = np.zeros(len(wanted), np.int64)
+        number[wanted] = numbers
+        number = np.where(use, number[index], 0)
+        hard = hard | (np.add.reduceat(use & (number == 0), offsets[:-1]) > 0)
+        raw, at = string_bytes(self.coded.take(pa.array(number)))
+        view, at, skip = memoryview(raw), at[offsets], len(self.line_break)
+        return [self.slowly(texts[k].as_py()) if slow else bytes(view[at[k] + skip : at[k + 1]]) for k, slow in enumerate(hard.tolist())]
+
+    def slowly(self, text: str) -> bytes:
         if not text.isascii() and UNSURE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
-        lines = [x.split(" ") for x in text.split("\n")]
-        for _ in range(2):
-            try:
-                out = []
-                for x in lines:
-                    out.append(self.lines[x[0]])
-                    out.extend(map(self.words.__getitem__, x[1:]))
-                    out.append(self.line_break)
-                del out[-1]
-                return b"".join(out)
-            except KeyError:
-                for known in (self.lines, self.words):
-                    if len(known) > CACHED_PIECES:
-                        known.clear()
-            if not (self.learn({x[0] for x in lines}, self.lines, "") and self.learn({w for x in lines for w in x[1:]}, self.words, " ")):
-                break
         return self.of_pieces(self.split(text))
 
+    def encode(self, text: str) -> bytes:
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
 
 def id_width(source: bytes) -> tuple[int, np.dtype]:
     """Bits of the largest id of a tokenizer.json, and the kind that holds them."""
@@ -308,52 +352,37 @@ def encoder(source: bytes) -> LibraryEncoder:
     return _ENCODERS[key]
 
 
-def encoded(df: DataFrame, tokenizer_path: str, end_id: int = 0, slice_bytes: int = 1 << 20) -> DataFrame:
-    """doc_id and ids (binary, little-endian, two bytes each if the vocabulary allows), the end id included."""
-    with open(tokenizer_path, "rb") as f:
-        source = df.sparkSession.sparkContext.broadcast(f.read())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(source.value)
-        end = np.array([end_id], enc.dtype).tobytes()
-        for batch in batches:
-            for part in chunks(batch, "text", slice_bytes):
-                ids = [enc.encode(t) + end for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    return clean_documents(df).mapInArrow(run, "doc_id long, ids binary")
-
-
-def write_shards(df: DataFrame, tokenizer_path: str, end_id: int = 0, shard_tokens: int = 4 << 20) -> DataFrame:
+def write_shards(df: DataFrame, tokenizer_path: str, end_id: int = 0, shard_tokens: int = 1 << 20, slice_bytes: int = 4 << 20) -> DataFrame:
     """Shard files in ascending doc_id order, written once and read back.
 
     shard_part, shard_seq (their order), part_start (tokens of its part before it), n_tokens, n_docs, file (binary).
-    Documents are encoded where they lie; only their ids are dealt out by ranges of doc_id.
+    Texts are dealt out by ranges of doc_id (two-byte ids of them would be no smaller), then encoded and packed in one pass.
     """
     with open(tokenizer_path, "rb") as f:
-        bits, dtype = id_width(f.read())
-    ids_of = materialise(encoded(df, tokenizer_path, end_id), "ids")
+        source = df.sparkSession.sparkContext.broadcast(f.read())
     order = F.col("doc_id").asc_nulls_first()
-    ordered = ids_of.repartitionByRange(order).sortWithinPartitions(order, "ids")
+    ordered = clean_documents(df).repartitionByRange(order).sortWithinPartitions(order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, before = TaskContext.get().partitionId(), 0, 0
+        enc, part, seq, before = encoder(source.value), TaskContext.get().partitionId(), 0, 0
+        end, size = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         docs, coded, total = [], [], 0
 
         def shard():
-            values = np.frombuffer(b"".join(coded), dtype)
-            file = pack(values, docs, np.array([len(c) for c in coded]) // dtype.itemsize, bits)
+            values = np.frombuffer(b"".join(coded), enc.dtype)
+            file = pack(values, docs, np.array([len(c) for c in coded]) // size, enc.bits)
             own = {"shard_part": part, "shard_seq": seq, "part_start": before, "n_tokens": len(values), "n_docs": len(docs)}
             return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64()) for k, v in own.items()} | {"file": pa.array([file], pa.binary())})
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if docs and total + len(ids) > shard_tokens * dtype.itemsize:
-                    yield shard()
-                    seq, before, docs, coded, total = seq + 1, before + total // dtype.itemsize, [], [], 0
-                docs.append(doc_id)
-                coded.append(ids)
-                total += len(ids)
+            for slice_ in chunks(batch, "text", slice_bytes):
+                for doc_id, ids in zip(slice_.column("doc_id").to_pylist(), enc.encode_all(slice_.column("text")), strict=True):
+                    if docs and total + len(ids) + size > shard_tokens * size:
+                        yield shard()
+                        seq, before, docs, coded, total = seq + 1, before + total // size, [], [], 0
+                    docs.append(doc_id)
+                    coded.append(ids + end)
+                    total += len(ids) + size
         if docs:
             yield shard()
 
