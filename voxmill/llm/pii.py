@@ -1,14 +1,17 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions that adds to them.
 
-The network reads windows of 64 characters at a stride of 32; each is decoded by Viterbi, and of the windows over a
-character the one in which it lies furthest from an edge gives its tag. Spans are then cut from the tags of the whole text,
-so they may be longer than a window. A window without a digit or "@" is outside every span by definition, since each of the
-four kinds has one in it, and is not decoded. An added span has to pass its kind's check (below) and may not overlap a
-pattern's span; spans of the patterns always stay.
+The network reads windows of 64 characters at a stride of 32. The emissions of windows that overlap are averaged, each
+weighed by the character's distance from the window's edge, and one Viterbi pass with the CRF's transitions then decodes the
+whole text. A window without a digit or "@" is outside every span by definition, since each of the four kinds has one in
+it, so there the tags are fixed and the network is not run. The tags' spans count as they are, under three conditions that are no
+patterns: the path through the span is better by `LEAST_MARGIN` than the one that stays outside, the kind's arithmetic holds (parts of an
+address at most 255, a card's check digit, the number of digits), and the span does not overlap one that a pattern accepted.
+It may overlap what a pattern matched and then dropped. Spans of the patterns always stay.
 
 Training is in numpy, by back-propagation through both directions and the CRF likelihood, on spans that a generator
-writes into invented prose with its labels: e-mail addresses, IP addresses, card and phone numbers in many layouts, and
-look-alikes (versions, dates, hexadecimal tokens, order numbers) that are none. It takes a few seconds on the driver, once a process.
+writes into invented prose with its labels: e-mail addresses, IP addresses, card and phone numbers in many layouts, alone and
+side by side, and look-alikes (versions, dates, hexadecimal tokens, order numbers, words) that are none. The fitted weights are a
+file beside this module, written by `python -m voxmill.llm.pii`; `trained(fresh=True)` fits them anew.
 
 Defined results: a null text counts as empty; a text without spans has an empty list. Each row has its own result, so
 repeated rows have equal ones. Spans are code points, end exclusive, by start and then by kind as listed in KINDS.
@@ -16,6 +19,7 @@ repeated rows have equal ones. Spans are code points, end exclusive, by start an
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -83,16 +87,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---- checks of added spans
 
-ADDED = (
-    re.compile(r"[^\s@,;:|<>()\[\]\"]+@[^\s@,;:|<>()\[\]\"]+\.[^\W\d_]{2,}"),
-    re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
-    re.compile(r"[0-9]{3,6}(?:[ .\-/ ‑–]{1,2}[0-9]{2,6}){2,5}"),
-    re.compile(r"(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .\-/ ‑–]{1,2}[0-9]{2,4}){2,4}"),
-)
+#: What the path through a span has to be better by (log likelihood) than one outside it.
+LEAST_MARGIN = 4.0
 
 
-def good_added(kind: int, s: str) -> bool:
-    return bool(ADDED[kind].fullmatch(s)) and (True, good_ip(s) if kind == 1 else True, good_card(s), good_phone(s))[kind]
+def plausible(kind: int, s: str) -> bool:
+    """The arithmetic of a kind: no layout is asked for."""
+    n = len(digits_of(s))
+    if kind == 1:
+        parts = [digits_of(x) for x in s.split(".")]
+        return len(parts) == 4 and all(p and int(p) <= 255 for p in parts if len(p) < 5) and all(0 < len(p) < 4 for p in parts)
+    return (s.count("@") == 1, True, 13 <= n <= 19 and luhn(digits_of(s)), 7 <= n <= 15)[kind]
 
 
 # ---- the network
@@ -107,6 +112,13 @@ for _i, _c in enumerate(SYMBOLS):
     ASCII[ord(_c)] = _i
 
 
+#: Tags that may not follow each other: a further character of a kind needs the kind's first or further one before it.
+BARRED = np.zeros((N_TAGS, N_TAGS))
+for _k in range(len(KINDS)):
+    BARRED[[t for t in range(N_TAGS) if t not in (1 + 2 * _k, 2 + 2 * _k)], 2 + 2 * _k] = -1e4
+WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
+
+
 def symbols(text: str) -> np.ndarray:
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     return np.where(code < 128, ASCII[np.minimum(code, 127)], np.where(code == 0xA0, ASCII[32], OTHER_LETTER)).astype(np.uint8)
@@ -158,7 +170,7 @@ def logsum(x, axis):
 class Tagger:
     """Embedding, two LSTMs, a linear layer and CRF transitions."""
 
-    def __init__(self, embed: int = 12, hidden: int = 20, seed: int = 7):
+    def __init__(self, embed: int = 12, hidden: int = 28, seed: int = 7):
         r = np.random.default_rng(seed)
         s = lambda *shape: r.normal(0, 1 / np.sqrt(shape[0]), shape)
         self.p = {"e": r.normal(0, 0.5, (N_SYMBOLS, embed)), "out": s(2 * hidden, N_TAGS), "ob": np.zeros(N_TAGS), "tr": np.zeros((N_TAGS, N_TAGS)), "first": np.zeros(N_TAGS)}
@@ -176,24 +188,25 @@ class Tagger:
     def gradient(self, ids: np.ndarray, tags: np.ndarray):
         """Negative log likelihood of the CRF and its gradient, both a window."""
         p = self.p
+        tr = p["tr"] + BARRED
         e, (x, h, kf, kb) = self.emissions(ids)
         time, batch, _ = e.shape
         y, at = tags.T, np.arange(batch)
         alpha = [p["first"] + e[0]]
         for t in range(1, time):
-            alpha.append(logsum(alpha[-1][:, :, None] + p["tr"], 1) + e[t])
+            alpha.append(logsum(alpha[-1][:, :, None] + tr, 1) + e[t])
         beta = [np.zeros((batch, N_TAGS))]
         for t in range(time - 1, 0, -1):
-            beta.append(logsum(p["tr"][None] + (e[t] + beta[-1])[:, None, :], 2))
+            beta.append(logsum(tr[None] + (e[t] + beta[-1])[:, None, :], 2))
         beta, logz = beta[::-1], logsum(alpha[-1], 1)
         de = np.exp(np.stack(alpha) + np.stack(beta) - logz[None, :, None])
         g = {"first": de[0].sum(0), "tr": np.zeros_like(p["tr"])}
         gold = p["first"][y[0]] + e[0][at, y[0]]
         np.subtract.at(g["first"], y[0], 1)
         for t in range(1, time):
-            g["tr"] += np.exp(alpha[t - 1][:, :, None] + p["tr"] + (e[t] + beta[t])[:, None, :] - logz[:, None, None]).sum(0)
+            g["tr"] += np.exp(alpha[t - 1][:, :, None] + tr + (e[t] + beta[t])[:, None, :] - logz[:, None, None]).sum(0)
             np.subtract.at(g["tr"], (y[t - 1], y[t]), 1)
-            gold = gold + p["tr"][y[t - 1], y[t]] + e[t][at, y[t]]
+            gold = gold + tr[y[t - 1], y[t]] + e[t][at, y[t]]
         de[np.arange(time)[:, None], at[None, :], y] -= 1
         g["out"], g["ob"] = np.tensordot(h, de, ([0, 1], [0, 1])), de.sum((0, 1))
         dh = de @ p["out"].T
@@ -204,18 +217,31 @@ class Tagger:
         np.add.at(g["e"], ids.T, dx + dxb[::-1])
         return (logz - gold).sum() / batch, {n: v / batch for n, v in g.items()}
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """Viterbi tags of windows: batch, time."""
-        e, _ = self.emissions(ids)
-        best, back = self.p["first"] + e[0], []
+    def best_paths(self, e: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Viterbi tags (batch, time) of stretches of texts; e: time, batch, tag; begins: whether a stretch begins its text.
+
+        What lies before and after a stretch is outside, unless it begins its text. Tags beyond a stretch's size are 0.
+        """
+        tr = (self.p["tr"] + BARRED).astype(np.float32)
+        start = np.where(begins[:, None], self.p["first"] + BARRED[0], tr[0]).astype(np.float32)
+        best, back, at = start + e[0], [], np.arange(e.shape[1])
         for t in range(1, len(e)):
-            s = best[:, :, None] + self.p["tr"]
-            back.append(s.argmax(1))
-            best = s.max(1) + e[t]
-        tags = [best.argmax(1)]
+            s = best[:, :, None] + tr
+            step = s.argmax(1)
+            on = (t < sizes)[:, None]
+            back.append(np.where(on, step, np.arange(N_TAGS)).astype(np.int8))
+            best = np.where(on, s.max(1) + e[t], best)
+        tags = [(best + tr[:, 0]).argmax(1)]
         for b in reversed(back):
-            tags.append(b[np.arange(len(b)), tags[-1]])
-        return np.stack(tags[::-1], axis=1)
+            tags.append(b[at, tags[-1]].astype(np.int64))
+        return np.where(np.arange(len(e)) < sizes[:, None], np.stack(tags[::-1], axis=1), 0)
+
+    def margin(self, e: np.ndarray, tags: np.ndarray, before: int, after: int) -> float:
+        """By how much the path through a span beats that of tags 0; e and tags: of the span; before, after: the tags around it."""
+        tr = self.p["tr"]
+        path, plain = [before, *tags.tolist(), after], [before, *[0] * len(tags), after]
+        steps = sum(float(tr[a, b]) for a, b in zip(path[:-1], path[1:], strict=True)) - sum(float(tr[a, b]) for a, b in zip(plain[:-1], plain[1:], strict=True))
+        return steps + float(e[np.arange(len(tags)), tags].sum() - e[:, 0].sum())
 
 
 # ---- labelled spans
@@ -247,7 +273,13 @@ def sample(r: np.random.Generator) -> tuple[str, np.ndarray]:
         return pick(f"+{r.integers(1, 99)} ", f"+{r.integers(1, 99)}{gap}", "", f"+{r.integers(1, 999)} ", "+1 ") + own
 
     def none():
-        return pick(f"{r.integers(1, 9)}.{r.integers(0, 20)}", f"v{r.integers(1, 9)}.{r.integers(0, 9)}.{r.integers(0, 9)}", f"20{num(2)}-{r.integers(10, 13)}-{r.integers(10, 29)}", num(int(r.integers(1, 9))), num(int(r.integers(20, 26))), 'token = "' + "".join("0123456789abcdef"[k] for k in r.integers(0, 16, 32)) + '"', f"{num(2)}:{num(2)}", f"{num(3)}.{num(2)}", f"@{name()}", f"{r.integers(1, 99)}/{r.integers(1, 99)}", f"{r.integers(1, 9)}.{r.integers(0, 9)}.{r.integers(0, 9)}.{r.integers(300, 999)}", f"{num(3)}-{num(4)}", f"{num(4)} {num(2)}")
+        hexes = "".join(pick("0123456789abcdef", "0123456789ABCDEF")[k] for k in r.integers(0, 16, r.integers(8, 44)))
+        return pick(
+            f"{r.integers(1, 9)}.{r.integers(0, 20)}", f"v{r.integers(1, 9)}.{r.integers(0, 9)}.{r.integers(0, 9)}", f"20{num(2)}-{r.integers(10, 13)}-{r.integers(10, 29)}",
+            num(int(r.integers(1, 9))), num(int(r.integers(20, 26))), f'token = "{hexes}"', f'TOKEN = "{hexes}"', hexes, f"{num(2)}:{num(2)}", f"{num(3)}.{num(2)}", f"@{name()}", f"{r.integers(1, 99)}/{r.integers(1, 99)}",
+            f"{r.integers(1, 9)}.{r.integers(0, 9)}.{r.integers(0, 9)}.{r.integers(300, 999)}", f"{num(3)}-{num(4)}", f"{num(4)} {num(2)}", f"{r.integers(1, 20)}", f"version {r.integers(1, 9)}.", f"CC BY-NC {r.integers(1, 9)}.0.", f"19{num(2)}", f"20{num(2)}",
+            f"{name()}@", "@ " + num(2), f"${num(2)},{num(3)}", f"{num(2)} %", f"{name()}{num(2)}", f"{num(1)} {num(1)} {num(2)}",
+        )
 
     text, tags = "", []
 
@@ -256,14 +288,19 @@ def sample(r: np.random.Generator) -> tuple[str, np.ndarray]:
         text += s
         tags.extend([0] * len(s) if kind < 0 else [1 + 2 * kind, *[2 + 2 * kind] * (len(s) - 1)])
 
-    mark = pick("", "", "", "***", "!!", "&&&", " |")
+    mark = pick("", "", "", "***", "!!", "&&&", " |", "###", "%%%", "$$$")
+    case = pick(str, str, str, str.upper)
     for _ in range(r.integers(2, 5)):
-        for _ in range(r.integers(1, 5)):
-            w = word()
+        for _ in range(r.integers(1, 6)):
+            w = case(word())
             put(pick(w, w, w, w.capitalize(), w.upper()) + pick("", "", "", ",", ".") + mark + pick(" ", " ", " ", "\n"))
-        kind = int(r.integers(-2, 4))
+        kind = int(r.integers(-3, 4))
         if kind >= 0:
             put((email, ip, card, phone)[kind](), kind)
+            while r.random() < 0.25:  # another one beside it
+                put(pick(" ", " ", "\n", ", "))
+                kind = int(r.integers(0, 4))
+                put((email, ip, card, phone)[kind](), kind)
         else:
             put(none())
         put(pick("", "", "", ".", ",", ";", ")") + mark + pick(" ", " ", "\n"))
@@ -271,7 +308,17 @@ def sample(r: np.random.Generator) -> tuple[str, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def trained(samples: int = 2400, epochs: int = 7, batch: int = 64, rate: float = 0.01, seed: int = 11) -> Tagger:
+def trained(fresh: bool = False) -> Tagger:
+    """The fitted network, from its file or, if fresh, fitted anew."""
+    if fresh:
+        return fit()
+    model = Tagger()
+    with np.load(WEIGHTS) as f:
+        model.p = {k: f[k] for k in model.p}
+    return model
+
+
+def fit(samples: int = 12000, epochs: int = 9, batch: int = 64, rate: float = 0.01, seed: int = 11) -> Tagger:
     r = np.random.default_rng(seed)
     ids, tags = [], []
     for _ in range(samples):
@@ -336,34 +383,89 @@ def spans_of_tags(tags: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def find(texts: list[str], model: Tagger, batch: int = 256) -> list[list[tuple[int, int, int, bool]]]:
-    """(start, kind, stop, of a pattern) of each text, in order."""
+def stretches(texts: list[str], busy: list[int]) -> list[tuple[int, int, int]]:
+    """(text, start, stop) of each longest run of windows that are read."""
+    out: list[tuple[int, int, int]] = []
+    for k in busy:
+        for s in windows_of(texts[k]):
+            if out and out[-1][0] == k and s < out[-1][2]:
+                out[-1] = (k, out[-1][1], s + WINDOW)
+            else:
+                out.append((k, s, s + WINDOW))
+    return [(k, a, min(b, len(texts[k]))) for k, a, b in out]
+
+
+def merged_emissions(coded: dict[int, np.ndarray], parts: list[tuple[int, int, int]], model: Tagger, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """The averaged emissions of all stretches, one after another, and where each begins."""
+    sizes = np.array([b - a for _, a, b in parts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    total = int(sizes.sum())
+    out, weight = np.zeros((total + WINDOW, N_TAGS), np.float32), np.zeros(total + WINDOW, np.float32)
+    depth = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32) + 1
+    where = [(n, s) for n, (_, a, b) in enumerate(parts) for s in range(a, max(b - STRIDE, a + 1), STRIDE)]
+    for lo in range(0, len(where), batch):
+        part = where[lo : lo + batch]
+        ids = np.full((len(part), WINDOW), PAD, np.uint8)
+        place = np.full((len(part), WINDOW), total, np.int64)
+        for row, at, (n, s) in zip(ids, place, part, strict=True):
+            k, a, b = parts[n]
+            own = coded[k][s : min(s + WINDOW, b)]
+            row[: len(own)] = own
+            at[: len(own)] = begin[n] + s - a + np.arange(len(own))
+        found = model.emissions(ids)[0].transpose(1, 0, 2).astype(np.float32)
+        parity = np.array([(s // STRIDE) % 2 for _, s in part])
+        for p in (0, 1):  # windows of one parity share no character, but for what is padded
+            own = parity == p
+            out[place[own]] += found[own] * depth[:, None]
+            weight[place[own]] += depth
+    return out[:total] / np.maximum(weight[:total, None], 1e-9), begin
+
+
+def decoded(e: np.ndarray, begin: np.ndarray, parts: list[tuple[int, int, int]], model: Tagger, cells: int = 1 << 15) -> list[np.ndarray]:
+    """The tags of each stretch, by Viterbi over its whole length; stretches of like sizes go together."""
+    sizes = np.array([b - a for _, a, b in parts], np.int64)
+    tags: list[np.ndarray] = [np.zeros(0, np.int64)] * len(parts)
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        n = 1
+        while at + n < len(order) and (n + 1) * sizes[order[at + n]] <= cells:
+            n += 1
+        own = order[at : at + n]
+        high = int(sizes[own].max())
+        block = np.zeros((high, n, N_TAGS), np.float32)
+        for j, k in enumerate(own):
+            block[: sizes[k], j] = e[begin[k] : begin[k] + sizes[k]]
+        found = model.best_paths(block, np.array([parts[k][1] == 0 for k in own]), sizes[own])
+        for j, k in enumerate(own):
+            tags[k] = found[j, : sizes[k]]
+        at += n
+    return tags
+
+
+def find(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int, bool]]]:
+    """(start, kind, stop, of a pattern) of each text, in order. Memory: some 60 bytes for each character that is read."""
     out: list[list] = [[] for _ in texts]
     busy = [k for k, t in enumerate(texts) if TRIGGER.search(t)]
-    where = [(k, s) for k in busy for s in windows_of(texts[k])]
+    for k in busy:
+        out[k] = [(s, kind, e, True) for s, kind, e in base_spans(texts[k])]
+    parts = stretches(texts, busy)
+    if not parts:
+        return out
     coded = {k: symbols(texts[k]) for k in busy}
-    tags = {k: np.zeros(len(coded[k]), np.uint8) for k in busy}
-    depth = {k: np.full(len(coded[k]), -1, np.int16) for k in busy}
-    edge = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.int16)
-    for a in range(0, len(where), batch):
-        part = where[a : a + batch]
-        ids = np.full((len(part), WINDOW), PAD, np.uint8)
-        for row, (k, s) in zip(ids, part, strict=True):
-            own = coded[k][s : s + WINDOW]
-            row[: len(own)] = own
-        for (k, s), found in zip(part, model.decode(ids), strict=True):
-            n = min(WINDOW, len(coded[k]) - s)
-            better = edge[:n] > depth[k][s : s + n]
-            tags[k][s : s + n][better] = found[:n][better]
-            depth[k][s : s + n][better] = edge[:n][better]
+    taken = {k: np.zeros(len(coded[k]), bool) for k in busy}
     for k in busy:
-        base = base_spans(texts[k])
-        taken = np.zeros(len(coded[k]), bool)
-        for s, _, e in base:
-            taken[s:e] = True
-        added = [(s, kind, e, False) for s, kind, e in spans_of_tags(tags[k]) if not taken[s:e].any() and good_added(kind, texts[k][s:e])]
-        out[k] = sorted([*((s, kind, e, True) for s, kind, e in base), *added])
-    return out
+        for s, _, stop, _ in out[k]:
+            taken[k][s:stop] = True
+    e, begin = merged_emissions(coded, parts, model)
+    for (k, a, _), tags, at in zip(parts, decoded(e, begin, parts, model), begin, strict=True):
+        for s, kind, stop in spans_of_tags(tags):
+            if taken[k][a + s : a + stop].any() or not plausible(kind, texts[k][a + s : a + stop]):
+                continue
+            before, after = (int(tags[s - 1]) if s else 0), (int(tags[stop]) if stop < len(tags) else 0)
+            if model.margin(e[at + s : at + stop], tags[s:stop], before, 0 if after % 2 == 0 else after) >= LEAST_MARGIN:
+                out[k].append((a + s, kind, a + stop, False))
+    return [sorted(x) for x in out]
 
 
 SPAN = "array<struct<kind:string,start:long,stop:long,base:boolean>>"
@@ -420,3 +522,7 @@ def mask_personal_data(df: DataFrame) -> DataFrame:
 
     out = df.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
+
+
+if __name__ == "__main__":
+    np.savez(WEIGHTS, **fit().p)
