@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from voxmill.kernels.lattice import run_pass
 from voxmill.operators import distance, filters
 from voxmill.operators.frame import from_points
 
@@ -92,9 +93,21 @@ def test_filter_errors(spark):
 @pytest.mark.parametrize("spacing", [None, (4, 4, 40), (3, 1, 2)])
 def test_distance(spark, spacing):
     s = np.array(spacing or (1, 1, 1))
-    pts = {tuple(map(int, p)) for p in np.random.default_rng(7).integers(0, 7, (400, 3))}
+    pts = {tuple(map(int, p)) for p in np.random.default_rng(7).integers(0, 7, (400, 3))} | {(0, 0, 0)}
     back = np.array([p for p in np.ndindex(9, 9, 9) if tuple(np.subtract(p, 1)) not in pts]) - 1
     out = distance.distance_transform(from_points(spark, [*pts, (0, 0, 0), (0, 0, 0)]), spacing).collect()
-    assert len(out) == len(pts) + 2 or (0, 0, 0) not in pts
+    assert len(out) == len(pts) + 2
     for r in out:
-        assert r.distance == pytest.approx(np.sqrt((((back - (r.x, r.y, r.z)) * s) ** 2).sum(1).min())) or (0, 0, 0) not in pts
+        assert r.distance == pytest.approx(np.sqrt((((back - (r.x, r.y, r.z)) * s) ** 2).sum(1).min()))
+
+
+@pytest.mark.parametrize("n", [1, 7, 48, 49, 300])
+def test_runs_by_envelope(n):
+    """Short runs by all pairs, long ones by the lower envelope: both against the definition."""
+    r = np.random.default_rng(n)
+    for share in (0.0, 0.3, 1.0):
+        for step in (1.0, 2.5):
+            g = np.where(r.random(n) < share, r.integers(1, 4 * n, n).astype(float), np.inf)
+            ends = (step * np.minimum(np.arange(n) + 1, n - np.arange(n))) ** 2
+            want = [min(ends[i], *(g + (step * (np.arange(n) - i)) ** 2)) for i in range(n)]
+            assert run_pass(g, step) == pytest.approx(want)

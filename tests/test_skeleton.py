@@ -162,3 +162,69 @@ def test_option_errors(spark):
     for call in (lambda: skeleton.teasar_skeletonize(df, branching="x"), lambda: skeleton.wavefront_skeletonize(df, radius_agg="x"), lambda: skeleton.wavefront_skeletonize(df, step_size=0.1), lambda: skeleton.tube_coefficients(df, K=40), lambda: skeleton.tube_coefficients(df, "x")):
         with pytest.raises(ValueError):
             call()
+
+
+def test_wave_front_distances():
+    """Against relaxation until nothing changes."""
+    r = np.random.default_rng(8)
+    v = lattice.sort_rows(r.integers(0, 7, (120, 3)))
+    pairs = lattice.edges_of(lattice.neighbour_table(v))
+    points = v * np.array([1.0, 2.0, 3.5])
+    far = np.full(len(v), np.inf)
+    far[[3, 40]] = 0
+    length = np.linalg.norm(points[pairs[:, 0]] - points[pairs[:, 1]], axis=1)
+    for _ in range(len(v)):
+        np.minimum.at(far, pairs[:, 1], far[pairs[:, 0]] + length)
+        np.minimum.at(far, pairs[:, 0], far[pairs[:, 1]] + length)
+    paths = lattice.Paths(points, pairs)
+    assert paths.distances([3, 40]) == pytest.approx(far)
+    assert paths.field([3, 40], np.zeros(len(v)))[0] == pytest.approx(far)
+
+
+def test_roots_are_least_rows():
+    r = np.random.default_rng(9)
+    for n, m in ((1, 0), (50, 20), (400, 390), (300, 299)):
+        pairs = np.sort(r.integers(0, n, (m, 2)), axis=1) if m != 299 else np.stack([np.arange(299), np.arange(1, 300)], axis=1)
+        want = np.arange(n)
+        for _ in range(n):
+            for a, b in pairs:
+                want[a] = want[b] = min(want[a], want[b])
+        assert (lattice.roots(n, pairs) == want).all()
+
+
+def test_long_sides_of_triangles():
+    r = np.random.default_rng(10)
+    v = lattice.sort_rows(r.integers(0, 4, (30, 3)))
+    pairs = lattice.edges_of(lattice.neighbour_table(v))
+    size = lambda a, b: ((v[a] - v[b]) ** 2).sum()
+    has = {tuple(p) for p in pairs.tolist()} | {tuple(p[::-1]) for p in pairs.tolist()}
+    want = [[a, b] for a, b in pairs.tolist() if not any((a, c) in has and (c, b) in has and max(size(a, c), size(c, b)) < size(a, b) for c in range(len(v)))]
+    assert skeletons.reduce_edges(v, pairs).tolist() == want
+
+
+def test_straightness():
+    line = np.c_[np.arange(40.0), np.zeros((40, 2))]
+    blob = np.random.default_rng(1).normal(0, 3, (400, 3)) + 100
+    s = skeletons.straightness(np.r_[line, blob], 6.0)
+    assert s[:40].min() > 0.99 and np.median(s[40:]) < 0.5
+
+
+def test_rays_against_small_steps():
+    r = np.random.default_rng(12)
+    v = lattice.sort_rows(np.argwhere(r.random((12, 12, 12)) < 0.75))
+    look = lattice.Lookup(v)
+    origin = v[r.integers(0, len(v), 60)] + r.uniform(-0.4, 0.4, (60, 3))
+    way = r.normal(size=(60, 3))
+    way /= np.linalg.norm(way, axis=1, keepdims=True)
+    limit = np.full(60, 9.0)
+    radius, escaped, again = tubes.cast(look, origin, way, limit, 1.0)
+    t = np.arange(0, 9, 1e-3)
+    for k in range(60):
+        full = look.rows(np.rint(origin[k] + t[:, None] * way[k]).astype(np.int64)) >= 0
+        if full.all():
+            assert escaped[k] and radius[k] == 9
+            continue
+        first = t[(~full).argmax()]
+        assert not escaped[k] and abs(radius[k] - first) < 2e-3
+        back = full & (t > first + 2e-3) & (t < min(9, 2 * first) - 2e-3)
+        assert again[k] or not back.any()

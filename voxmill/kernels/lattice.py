@@ -49,17 +49,32 @@ def edges_of(table: np.ndarray) -> np.ndarray:
     return np.stack([a, b], axis=1)[a < b]
 
 
-def run_pass(u: np.ndarray, g: np.ndarray, step: float, block: int = 512) -> np.ndarray:
-    """Squared distances to the background of one run of consecutive places u, given those (g) of the axes before."""
-    n = len(u)
+def run_pass(g: np.ndarray, step: float, short: int = 48) -> np.ndarray:
+    """Squared distances to the background of one run of consecutive places, given those (g) of the axes before."""
+    n = len(g)
     i = np.arange(n)
     out = (step * np.minimum(i + 1, n - i)) ** 2
     finite = np.flatnonzero(np.isfinite(g))
-    for a in range(0, n, block):
-        if len(finite):
-            own = i[a : a + block]
-            out[a : a + block] = np.minimum(out[a : a + block], (g[finite] + (step * (own[:, None] - finite[None, :])) ** 2).min(1))
-    return out
+    if not len(finite):
+        return out
+    if n <= short:
+        return np.minimum(out, (g[finite] + (step * (i[:, None] - finite[None, :])) ** 2).min(1))
+    # the lower envelope of the parabolas over the run: each is put on and taken off once
+    kept: list[int] = []
+    begins: list[float] = []  # where each kept one is the least from
+    height = (g / step**2).tolist()
+    for q in finite.tolist():
+        while kept:
+            p = kept[-1]
+            cut = ((height[q] + q * q) - (height[p] + p * p)) / (2 * (q - p))
+            if cut > begins[-1]:
+                break
+            kept.pop()
+            begins.pop()
+        begins.append(cut if kept else -np.inf)
+        kept.append(q)
+    own = np.array(kept)[np.searchsorted(np.array(begins), i, side="right") - 1]
+    return np.minimum(out, g[own] + (step * (i - own)) ** 2)
 
 
 def distances(v: np.ndarray, spacing: np.ndarray) -> np.ndarray:
@@ -72,60 +87,86 @@ def distances(v: np.ndarray, spacing: np.ndarray) -> np.ndarray:
         new = np.r_[True, (np.diff(w[:, axis]) != 1) | (np.diff(w[:, p]) != 0) | (np.diff(w[:, q]) != 0)] if len(v) else np.zeros(0, bool)
         cuts = np.flatnonzero(new)
         for a, b in zip(cuts, [*cuts[1:], len(v)], strict=True):
-            g[order[a:b]] = run_pass(w[a:b, axis], g[order[a:b]], spacing[axis])
+            g[order[a:b]] = run_pass(g[order[a:b]], spacing[axis])
     return np.sqrt(g)
 
 
 class Paths:
-    """Dijkstra over the 26-neighbour graph (or given edges) with costs of steps."""
+    """Shortest paths over given edges, whose ends and lengths are held as arrays by node."""
 
     def __init__(self, points: np.ndarray, pairs: np.ndarray):
-        n = len(points)
+        self.n = len(points)
         src, dst = np.r_[pairs[:, 0], pairs[:, 1]], np.r_[pairs[:, 1], pairs[:, 0]]
         order = np.argsort(src, kind="stable")
-        self.n, src, dst = n, src[order], dst[order]
-        length = np.linalg.norm(points[src] - points[dst], axis=1)
-        cuts = np.searchsorted(src, np.arange(n + 1))
-        self.near = [list(zip(dst[a:b].tolist(), length[a:b].tolist(), strict=True)) for a, b in itertools.pairwise(cuts.tolist())]
-
-    def field(self, sources, toll=None, stop=None):
+        src, self.dst = src[order], dst[order]
+        self.length = np.linalg.norm(points[src] - points[self.dst], axis=1)
+        self.first = np.searchsorted(src, np.arange(self.n + 1))
+
+    def distances(self, sources) -> np.ndarray:
+        """Distances from the sources, a wave front at a time.
+
+        A front is all that lies within one shortest edge of the nearest open node. No edge leads from a front into itself, so its
+        distances are final, and all its edges are relaxed together.
+        """
+        dist = np.full(self.n, np.inf)
+        open_ = np.unique(np.asarray(sources, np.int64))
+        dist[open_] = 0.0
+        width = self.length.min() if len(self.length) else 1.0
+        while len(open_):
+            near = dist[open_] < dist[open_].min() + width
+            front, open_ = open_[near], open_[~near]
+            times = self.first[front + 1] - self.first[front]
+            at = np.repeat(self.first[front] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            to, reach = self.dst[at], np.repeat(dist[front], times) + self.length[at]
+            better = reach < dist[to]
+            to, reach = to[better], reach[better]
+            np.minimum.at(dist, to, reach)
+            open_ = np.union1d(open_, to)
+        return dist
+
+    def field(self, sources, toll, stop=None):
         """Distances from the sources and predecessors. toll: extra cost of entering a node. stop: end at the first settled node of this set."""
-        dist, pred = [np.inf] * self.n, [-1] * self.n
+        dist, pred = np.full(self.n, np.inf), np.full(self.n, -1, np.int64)
         heap = [(0.0, int(s)) for s in sources]
-        for _, s in heap:
-            dist[s] = 0.0
+        dist[[s for _, s in heap]] = 0.0
         heapq.heapify(heap)
-        hit = -1
+        done, hit = np.zeros(self.n, bool), -1
         while heap:
             d, u = heapq.heappop(heap)
-            if d > dist[u]:
+            if done[u]:
                 continue
+            done[u] = True
             if stop is not None and stop[u]:
                 hit = u
                 break
-            for v, w in self.near[u]:
-                e = d + w + (toll[v] if toll is not None else 0.0)
-                if e < dist[v]:
-                    dist[v], pred[v] = e, u
-                    heapq.heappush(heap, (e, v))
-        return np.array(dist), pred, hit
+            own = slice(self.first[u], self.first[u + 1])
+            to = self.dst[own]
+            reach = d + self.length[own] + toll[to]
+            better = reach < dist[to]
+            to, reach = to[better], reach[better]
+            dist[to], pred[to] = reach, u
+            for e, w in zip(reach.tolist(), to.tolist(), strict=True):
+                heapq.heappush(heap, (e, w))
+        return dist, pred, hit
 
 
 def roots(n: int, pairs: np.ndarray) -> np.ndarray:
-    """Least row of each row's component."""
-    up = list(range(n))
-
-    def find(x):
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for a, b in pairs.tolist():
-        p, q = find(a), find(b)
-        if p != q:
-            up[max(p, q)] = min(p, q)
-    return np.array([find(x) for x in range(n)], np.int64)
+    """Least row of each row's component: labels go down along edges and then jump to their label's label, until none changes."""
+    label = np.arange(n)
+    a, b = pairs[:, 0], pairs[:, 1]
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (a, b, label[a], label[b]):
+            np.minimum.at(new, end, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
 
 
 def spanning_forest(n: int, pairs: np.ndarray, cost: np.ndarray) -> np.ndarray:

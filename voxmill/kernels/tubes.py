@@ -38,23 +38,28 @@ def branches(n: int, pairs: np.ndarray) -> list[list[int]]:
 
 def unit(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x)
-    return x / n if n > 1e-12 else np.zeros(3)
+    return x / n if n > 0 else np.zeros(3)
 
 
 def across(t: np.ndarray) -> np.ndarray:
-    """A unit vector at right angles to t."""
-    e = np.zeros(3)
-    e[np.abs(t).argmin()] = 1
-    return unit(np.cross(t, e))
+    """A unit vector at right angles to the unit vector t, without a case of its own near any axis (Duff et al., 2017)."""
+    x, y, z = t
+    side = 1.0 if z >= 0 else -1.0
+    share = -1 / (side + z)
+    return np.array([1 + side * share * x * x, side * share * x * y, -side * x])
 
 
-def mirrored(a: np.ndarray, n: np.ndarray) -> np.ndarray:
-    d = n @ n
-    return a - (2 * (n @ a) / d) * n if d > 1e-24 else a
+def carried(u: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """u, at right angles to the unit vector s, after the smallest rotation that takes s to the unit vector t."""
+    turn = 1 + s @ t
+    # below this the two are opposite to the accuracy of doubles, and u is at right angles to both
+    new = u - (u @ t) / turn * (s + t) if turn > 1e-12 else u
+    new = new - (new @ t) * t
+    return unit(new)
 
 
 def frames(points: np.ndarray, paths: list[list[int]]):
-    """Tangent, u, v, branch and end of each node: frames that turn least along a branch (double reflection). A node of several branches takes the last."""
+    """Tangent, u, v, branch and end of each node: frames that turn least along a branch. A node of several branches takes the last."""
     n = len(points)
     t, u, v = (np.zeros((n, 3)) for _ in range(3))
     branch, end = np.full(n, -1, np.int64), np.zeros(n, bool)
@@ -71,10 +76,7 @@ def frames(points: np.ndarray, paths: list[list[int]]):
     for path in paths:
         u[path[0]] = across(t[path[0]])
         for a, b in zip(path[:-1], path[1:], strict=True):
-            step = points[b] - points[a]
-            new = mirrored(mirrored(u[a], step), t[b] - mirrored(t[a], step))
-            new = unit(new - (new @ t[b]) * t[b])
-            u[b] = new if new.any() else across(t[b])
+            u[b] = carried(u[a], t[a], t[b])
     v = np.cross(t, u)
     return t, u, v, branch, end
 
@@ -96,47 +98,61 @@ def quaternions(u: np.ndarray, v: np.ndarray, t: np.ndarray) -> np.ndarray:
 def cast(look: Lookup, origin: np.ndarray, way: np.ndarray, limit: np.ndarray, star: float | None):
     """First exit of each ray from the voxels, whether it reached its limit instead, and whether it comes in again by (1 + star) times the exit.
 
-    Cell by cell in index space; `way` is such that its parameter is the physical distance. Ties cross x, then y, first.
+    `way` is such that a ray's parameter is the physical distance. The parameters at which a ray passes from cell to cell are known in
+    advance for each axis; sorted together (x, then y, first where they tie) they give all its cells at once. Rays are read
+    up to a horizon that doubles for those not settled.
     """
     n = len(origin)
     radius, escaped, again = limit.astype(float).copy(), np.ones(n, bool), np.zeros(n, bool)
-    cell, turn = np.rint(origin).astype(np.int64), np.sign(way).astype(np.int64)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        delta = np.where(way != 0, np.abs(1 / way), np.inf)
-        at = np.where(way != 0, np.maximum((cell + turn * 0.5 - origin) / way, 0), np.inf)
-    limit, out, live = limit.astype(float).copy(), np.zeros(n, bool), np.arange(n)
+    cell, speed = np.rint(origin).astype(np.int64), np.abs(way)
+    turn = np.sign(way).astype(np.int64)
+    horizon, live = 8 / max(float(speed.max(initial=0)), 1e-300), np.arange(n)
     while len(live):
-        axis = at[live].argmin(1)
-        t = at[live, axis]
-        ok = t <= limit[live]
-        live, axis, t = live[ok], axis[ok], t[ok]
-        cell[live, axis] += turn[live, axis]
-        at[live, axis] += delta[live, axis]
-        full = look.rows(cell[live]) >= 0
-        leaving = ~full & ~out[live]
-        gone = live[leaving]
-        radius[gone], escaped[gone], out[gone] = t[leaving], False, True
-        back = full & out[live]
-        again[live[back]] = True
+        far = np.minimum(limit[live], horizon)
+        times = []
+        for axis in range(3):
+            v, lead = speed[live, axis], (cell[live, axis] - origin[live, axis]) * turn[live, axis] + 0.5
+            count = int(np.ceil(max(float((far * v).max()), 0.0))) + 1
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t = np.maximum((lead[:, None] + np.arange(count)) / v[:, None], 0)
+            times.append(np.where((v[:, None] > 0) & (t <= far[:, None]), t, np.inf))
+        every = np.concatenate(times, axis=1)
+        axis = np.repeat(np.arange(3), [t.shape[1] for t in times])
+        order = np.argsort(every, axis=1, kind="stable")
+        every, axis = np.take_along_axis(every, order, axis=1), axis[order]
+        steps = int(np.isfinite(every).sum(axis=1).max(initial=0))
+        every, axis = every[:, :steps], axis[:, :steps]
+        place = np.stack([cell[live, k, None] + turn[live, k, None] * np.cumsum(axis == k, axis=1) for k in range(3)], axis=2)
+        real = np.isfinite(every)
+        full = np.ones(every.shape, bool)
+        full[real] = look.rows(place[real]) >= 0
+        left = (~full).any(axis=1)
+        at = np.where(left, (~full).argmax(axis=1), 0)
+        out = every[np.arange(len(live)), at] if steps else np.zeros(len(live))
+        radius[live[left]], escaped[live[left]] = out[left], False
         if star is None:
-            live = live[~out[live]]
+            settled = left
         else:
-            limit[gone] = np.minimum(limit[gone], (1 + star) * t[leaving])
-            live = live[~back]
+            reach = np.minimum(limit[live], (1 + star) * out)
+            back = real & full & (np.arange(steps)[None, :] > at[:, None]) & (every <= reach[:, None])
+            again[live] = left & back.any(axis=1)
+            settled = left & ((reach <= far) | again[live])
+        live = live[~settled & (far < limit[live])]
+        horizon *= 2
     return radius, escaped, again
 
 
 def fourier(r: np.ndarray, k: int):
-    """Mean, magnitudes and phases of the first k harmonics, and the root mean square of the rest."""
-    n = r.shape[1]
-    c = np.fft.rfft(r, axis=1) / n
-    weight = np.full(c.shape[1], 2.0)
-    weight[0] = 1
-    if n % 2 == 0:
-        weight[-1] = 1
-    a, b = 2 * c[:, 1 : k + 1].real, -2 * c[:, 1 : k + 1].imag
-    rest = (np.abs(c[:, k + 1 :]) ** 2) @ weight[k + 1 :]
-    return c[:, 0].real, np.hypot(a, b), np.arctan2(b, a), np.sqrt(np.maximum(rest, 0))
+    """Mean, magnitudes and phases of the first k harmonics, and the root mean square of what they leave.
+
+    The samples are projected on a constant and on rows of cosines and sines; the rest is what the projection misses.
+    """
+    theta = 2 * np.pi * np.arange(r.shape[1]) / r.shape[1]
+    order = np.arange(1, k + 1)[:, None]
+    rows = np.concatenate([np.ones((1, len(theta))), np.cos(order * theta), np.sin(order * theta)])
+    share = r @ np.linalg.pinv(rows)
+    a, b = share[:, 1 : k + 1], share[:, k + 1 :]
+    return share[:, 0], np.hypot(a, b), np.arctan2(b, a), np.sqrt(((r - share @ rows) ** 2).mean(axis=1))
 
 
 def profile(voxels: np.ndarray, nodes: np.ndarray, pairs: np.ndarray, radii: np.ndarray | None, spacing: np.ndarray, k: int = 4, n_theta: int = 64, max_radius: float | None = None, star: float | None = 1.0) -> dict[str, np.ndarray]:

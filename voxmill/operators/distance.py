@@ -44,7 +44,7 @@ def _pass(df: DataFrame, axis: str, step: float) -> DataFrame:
         g = np.asarray(table.column("g"))
         out = np.empty(len(g))
         for a, b in zip(cuts, [*cuts[1:], len(g)], strict=True):
-            out[a:b] = run_pass(u[a:b], g[a:b], step)
+            out[a:b] = run_pass(g[a:b], step)
         table = table.set_column(names.index("g"), "g", pa.array(out))
         yield from table.combine_chunks().to_batches()
 

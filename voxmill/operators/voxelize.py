@@ -38,25 +38,45 @@ def _normal() -> list[Column]:
     return [cross("y", "z"), cross("z", "x"), cross("x", "y")]
 
 
+def _dot(n: dict[str, Column], corner: str) -> Column:
+    return sum(n[x] * F.col(f"{corner}_{x}") for x in n)
+
+
 def surface_cells(tris: DataFrame) -> DataFrame:
-    """Cells that a triangle touches: its plane passes between the cell's extreme corners, and none of the nine edges of
-    its three projections has the cell's square outside. Triangles without area are left out."""
+    """Cells that a triangle touches, by separating axes: none of the triangle's normal, the three axes and the nine cross products
+    of an axis with an edge parts the triangle from the cell. Triangles without area are left out.
+
+    Columns (x, y) of the bounds are generated, and of each only the cells between the least and greatest height that the
+    triangle's plane takes over the column; so a slanted triangle costs its bounds' area, not their volume.
+    """
     t = tris.withColumns({f"n_{x}": n for x, n in zip(AXES, _normal(), strict=True)}).where("n_x <> 0 OR n_y <> 0 OR n_z <> 0")
-    for x in AXES:
-        low, high = (F.floor(f(*[f"{c}_{x}" for c in CORNERS])) for f in (F.least, F.greatest))
-        t = t.withColumn(f"p{x}", F.explode(F.sequence(low, high)))
-    near = sum(F.col(f"n_{x}") * (F.when(F.col(f"n_{x}") > 0, 1.0).otherwise(0.0) - F.col(f"a_{x}")) for x in AXES)
-    far = sum(F.col(f"n_{x}") * (F.when(F.col(f"n_{x}") > 0, 0.0).otherwise(1.0) - F.col(f"a_{x}")) for x in AXES)
-    at = sum(F.col(f"n_{x}") * F.col(f"p{x}") for x in AXES)
-    tests = [(at + near) * (at + far) <= 0]
-    for k, normal in enumerate(AXES):
-        p, q = AXES[(k + 1) % 3], AXES[(k + 2) % 3]
-        turn = F.when(F.col(f"n_{normal}") >= 0, 1.0).otherwise(-1.0)
-        for c, d in zip(CORNERS, CORNERS[1:] + CORNERS[:1], strict=True):
-            cp, cq = -turn * (F.col(f"{d}_{q}") - F.col(f"{c}_{q}")), turn * (F.col(f"{d}_{p}") - F.col(f"{c}_{p}"))
-            reach = F.greatest(cp, F.lit(0.0)) + F.greatest(cq, F.lit(0.0)) - cp * F.col(f"{c}_{p}") - cq * F.col(f"{c}_{q}")
-            tests.append(cp * F.col(f"p{p}") + cq * F.col(f"p{q}") + reach >= 0)
-    return t.where(reduce(Column.__and__, tests)).select(*(F.col(f"p{x}").alias(x) for x in AXES)).distinct()
+    bound = lambda f, x: f(*[f"{c}_{x}" for c in CORNERS])
+    for x in ("x", "y"):
+        t = t.withColumn(f"p{x}", F.explode(F.sequence(F.floor(bound(F.least, x)), F.floor(bound(F.greatest, x)))))
+    flat = {x: -F.col(f"n_{x}") / F.col("n_z") for x in ("x", "y")}
+    middle = F.col("a_z") + sum(flat[x] * (F.col(f"p{x}") + 0.5 - F.col(f"a_{x}")) for x in flat)
+    # a cell's height more than half the plane's rise over a column, so that rounding loses nothing
+    half = sum(F.abs(flat[x]) for x in flat) / 2 + 1
+    steep = F.col("n_z") == 0
+    low = F.when(steep, bound(F.least, "z")).otherwise(F.greatest(bound(F.least, "z"), middle - half))
+    high = F.when(steep, bound(F.greatest, "z")).otherwise(F.least(bound(F.greatest, "z"), middle + half))
+    t = t.withColumns({"zl": F.floor(low), "zh": F.floor(high)}).where("zl <= zh").withColumn("pz", F.explode(F.sequence("zl", "zh")))
+
+    def apart(n: dict[str, Column]) -> Column:
+        """Whether the axis n parts the cell from the triangle."""
+        ends = [_dot(n, c) for c in CORNERS]
+        corner = sum(n[x] * F.col(f"p{x}") for x in n)
+        low, high = (sum(F.when(n[x] * side > 0, n[x]).otherwise(0.0) for x in n) for side in (-1, 1))
+        return (F.greatest(*ends) < corner + low) | (F.least(*ends) > corner + high)
+
+    tests = [apart({x: F.col(f"n_{x}") for x in AXES})]
+    for c, d in zip(CORNERS, CORNERS[1:] + CORNERS[:1], strict=True):
+        edge = {x: F.col(f"{d}_{x}") - F.col(f"{c}_{x}") for x in AXES}
+        for k in range(3):
+            p, q = AXES[(k + 1) % 3], AXES[(k + 2) % 3]
+            tests.append(apart({p: -edge[q], q: edge[p]}))
+    touching = t.where(~reduce(Column.__or__, tests))
+    return touching.select(*(F.col(f"p{x}").alias(x) for x in AXES)).distinct()
 
 
 def crossings(tris: DataFrame, axes: tuple[str, str, str] = AXES) -> DataFrame:
@@ -76,15 +96,17 @@ def crossings(tris: DataFrame, axes: tuple[str, str, str] = AXES) -> DataFrame:
         lo, hi = F.ceil(F.least(*[f"w{k}_{x}" for k in range(3)]) - 0.5), F.floor(F.greatest(*[f"w{k}_{x}" for k in range(3)]) - 0.5)
         t = t.where(lo <= hi).withColumn("q" + x, F.explode(F.sequence(lo, hi)))
     t = t.withColumns({"qx": F.col("qx").cast("double") + 0.5, "qy": F.col("qy").cast("double") + 0.5})
-    inside = []
+    # Twice the signed area that an edge spans with the centre, taken from the edge's lower end (by x, then y) so that the two
+    # triangles of an edge get exactly opposite values. An area of zero goes to one side as if the centre were moved by (eps, eps^2).
+    sides = []
     for p, q in ((0, 1), (1, 2), (2, 0)):
-        px, py, qx, qy = (F.col(f"w{k}_{x}") for k in (p, q) for x in ("x", "y"))
-        swap = (px > qx) | ((px == qx) & (py > qy))
-        lx, ly, hx, hy = F.when(swap, qx).otherwise(px), F.when(swap, qy).otherwise(py), F.when(swap, px).otherwise(qx), F.when(swap, py).otherwise(qy)
-        turn = F.when(swap, -1.0).otherwise(1.0)
-        fx, fy = (hx - lx) * turn, (hy - ly) * turn
-        e = fx * (F.col("qy") - ly) - fy * (F.col("qx") - lx)
-        inside.append((e > 0) | ((e == 0) & ((fy < 0) | ((fy == 0) & (fx > 0)))))
+        ends = [F.struct(F.col(f"w{k}_x").alias("x"), F.col(f"w{k}_y").alias("y")) for k in (p, q)]
+        low, high = F.least(*ends), F.greatest(*ends)
+        dx, dy = high["x"] - low["x"], high["y"] - low["y"]
+        area = dx * (F.col("qy") - low["y"]) - dy * (F.col("qx") - low["x"])
+        moved = F.when(area != 0, F.signum(area)).when(dy != 0, -F.signum(dy)).otherwise(F.signum(dx))
+        sides.append(F.when(ends[0] == low, moved).otherwise(-moved))
+    inside = [side > 0 for side in sides]
     inv = 1.0 / F.col("n_z")
     flat = sum(F.col(f"n_{x}") * F.col(f"a_{x}") for x in AXES) * inv
     z = flat + (-F.col("n_x") * inv) * F.col("qx") + (-F.col("n_y") * inv) * F.col("qy")
