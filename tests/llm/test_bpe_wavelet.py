@@ -66,7 +66,7 @@ def test_operator(spark, make, small):
 
 
 def check_matrix(wm, values, step):
-    assert wm.access_many(np.arange(len(values))).tolist() == values
+    assert wm.access_many(np.arange(len(values))).tolist() == values == wm.every().tolist()
     for x in {*values[:3], 40, 37, -1, 64}:
         at = [i for i, v in enumerate(values) if v == x]
         assert wm.count(x) == len(at) and wm.select(x, len(at)) == -1 == wm.select(x, -1)
@@ -97,6 +97,7 @@ def test_blocks_are_opened_singly(monkeypatch):
     assert docs == [None, 1] and wm.access(12_345) == values[12_345]
     assert all(len(p.words.open) == 1 and len(p.words.blocks) == 8 for p in wm.planes)
     check_matrix(wm, values.tolist(), 53)
+    assert wavelet.document_ids(file, 0).tolist() == values[:10].tolist() and wavelet.document_ids(file, 1).tolist() == values[10:].tolist()
 
 
 @pytest.mark.parametrize("size", [50, 1 << 20])

@@ -7,8 +7,8 @@ A shard holds the ids of consecutive documents in ascending doc_id order, each c
     ones (u32), the ones before each block of 512 bits (u64), and the plane's words in parts of 64 KiB
 
 each part compressed by itself (zstd). Access, rank (count of an id in a prefix), select (place of the k-th occurrence),
-count and locate work on the file alone and open just the parts they touch; a document's ids are read by access at its
-places. Shards are stored as binary rows of a table in the shared folder, so that any store Spark can write
+count and locate work on the file alone and open just the parts they touch; one document's ids are read by access at its
+places, those of all documents by select of all places at once. Shards are stored as binary rows of a table in the shared folder, so that any store Spark can write
 takes them; at most `shard_tokens` tokens (and at least one document) go into one, which bounds a task's memory.
 
 Defined results: a null or empty text is one end id; repeated doc_ids are kept, each row on its own, in the order of
@@ -47,6 +47,13 @@ LOOSE = f"^\n?({_SPACE}|$)|{_SPACE}$"
 UNSURE_RE2 = "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ALIKE if a != 0xE000) + "\\x{e000}-\\x{ffff}]"
 
 
+def document_ids(file: bytes, k: int) -> np.ndarray:
+    """The ids of the file's k-th document (from 0), by access at its places."""
+    wm, _, counts = unpack(file)
+    start = int(counts[:k].sum())
+    return wm.access_many(np.arange(start, start + int(counts[k])))
+
+
 class Plane:
     """One bit plane: its words, the ones before each block of BLOCK bits, and the block of every SAMPLE-th one and zero."""
 
@@ -132,6 +139,18 @@ class WaveletMatrix:
             at = goes[at]
         return out
 
+    def every(self) -> np.ndarray:
+        """All values in order: from the lowest plane up, each place's value goes to where select puts it in the plane above."""
+        now = np.zeros(self.n, np.uint32 if self.bits > 16 else np.uint16)
+        for k in range(self.bits - 1, -1, -1):
+            plane, zeros = self.planes[k], self.zeros[k]
+            one = unpacked(plane.words.cut(0, plane.words.n), self.n).view(bool)
+            up = np.empty_like(now)
+            up[~one] = now[:zeros]
+            up[one] = now[zeros:] | now.dtype.type(1 << (self.bits - 1 - k))
+            now = up
+        return now
+
     def _narrow(self, value: int, lo: int, hi: int) -> tuple[int, int]:
         for k, (zeros, plane) in enumerate(zip(self.zeros, self.planes, strict=True)):
             a, b = plane.ones(lo), plane.ones(hi)
@@ -222,6 +241,13 @@ def unpack(file: bytes) -> tuple[WaveletMatrix, list, np.ndarray]:
     return WaveletMatrix(n, head["bits"], head["zeros"], planes), [None] * head["null_docs"] + docs[head["null_docs"] :], load(parts[1], "<u4")
 
 
+class Numbers(dict):
+    """Numbers of chunks; -1 for one that has none."""
+
+    def __missing__(self, chunk: str) -> int:
+        return -1
+
+
 class LibraryEncoder:
     """The tokenizers library's ids of whole texts, each distinct chunk encoded once by the library and then looked up.
 
@@ -250,7 +276,7 @@ class LibraryEncoder:
 
     def forget(self) -> None:
         """Starts the table of chunks anew: chunk to number, and the ids of all numbers end to end; number 0 has none."""
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.coded = pa.array([b""], pa.large_binary())
 
     def ids(self, text: str) -> np.ndarray:
@@ -312,10 +338,11 @@ class LibraryEncoder:
         wanted[index[use]] = True
         chunks_, known = flat.dictionary.filter(pa.array(wanted)), self.known
         own = chunks_.to_pylist()
-        numbers = np.fromiter((known.get(c, -1) for c in own), np.int64, len(own))
-        if (numbers < 0).any():
-            self.learn(chunks_.filter(pa.array(numbers < 0)))
-            numbers = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
+        numbers = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            self.learn(chunks_.take(pa.array(new)))
+            numbers[new] = [known[own[k]] for k in new.tolist()]
         number = np.zeros(len(wanted), np.int64)
         number[wanted] = numbers
         number = np.where(use, number[index], 0)
@@ -403,7 +430,7 @@ def read_shards(files: DataFrame, digest_only: bool = False) -> DataFrame:
         for batch in batches:
             for before, file in zip(batch.column("before").to_pylist(), batch.column("file"), strict=True):
                 wm, doc_ids, counts = unpack(file.as_py())
-                values = memoryview(wm.access_many(np.arange(wm.n)).astype("<u4")).cast("B")
+                values = memoryview(wm.every().astype("<u4")).cast("B")
                 stops = np.cumsum(counts, dtype=np.int64)
                 for a in range(0, len(doc_ids), 2000):
                     own = slice(a, a + 2000)
