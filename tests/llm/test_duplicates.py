@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -217,12 +218,63 @@ def test_signature_likeness():
     assert ctph.common_subsequence("kitten", "sitting") == 4
     assert ctph.signature_likeness("abcdefgh", "abcdefgx") == 1 - 2 / 16
     assert ctph.signature_likeness("abcdefghijklmn", "zzzzzzzzzzzzzz") == 0
-    data = np.random.default_rng(0).integers(0, 256, 20_000).astype(np.uint8).tobytes()
-    n, a, b = ctph.fingerprint(data).split(":")
-    assert 32 <= len(a) <= 160 and int(n) % 3 == 0
-    slow = [sum((8 - j) * data[i - j] for j in range(7) if i >= j) + sum(0 for _ in ()) for i in range(50)]
-    assert len(slow) == 50
-    assert ctph.fingerprint(data) == ctph.fingerprint(bytes(data))
+
+
+def plain_fingerprint(data):
+    """Byte by byte: the rolling hash as a loop over the last 7 bytes, chunks cut one after another, all sizes tried."""
+    if not data:
+        return "3::"
+    hashes = []
+    for i in range(len(data)):
+        total = weighted = shifted = 0
+        for j in range(7):
+            c = data[i - j] if i >= j else 0
+            total, weighted = total + c, weighted + (7 - j) * c
+            shifted ^= c << 5 * j & 0xFFFFFFFF
+        hashes.append((total + weighted + shifted) & 0xFFFFFFFF)
+
+    def signature(size):
+        out, chunk = "", b""
+        for c, h in zip(data, hashes, strict=True):
+            chunk += bytes([c])
+            if h % size == size - 1:
+                out, chunk = out + ctph.ALPHABET[zlib.crc32(chunk) % 64], b""
+        return out + (ctph.ALPHABET[zlib.crc32(chunk) % 64] if chunk else "")
+
+    cuts = lambda size: sum(h % size == size - 1 for h in hashes)
+    top = max(0, (len(data) // 192).bit_length())
+    k = max((k for k in range(top + 1) if cuts(3 << k) + 1 >= 32), default=0)
+    while cuts(3 << k) + 1 > 256:
+        k += 1
+    return f"{3 << k}:{signature(3 << k)}:{signature(6 << k)}"
+
+
+def test_fingerprints_byte_by_byte():
+    r = np.random.default_rng(0)
+    cases = [b"", b"a", b"abc", b"}" * 3000, b"x" * 700, b"q" * 40 + b"some words " * 30, r.integers(0, 256, 5000).astype(np.uint8).tobytes(), r.integers(97, 123, 900).astype(np.uint8).tobytes(), "Größe ça ñ 漢字 😀".encode() * 20]
+    cases += [r.integers(0, 256, n).astype(np.uint8).tobytes() for n in range(1, 200, 13)]
+    for data in cases:
+        assert ctph.fingerprint(data) == plain_fingerprint(data)
+
+
+def test_common_subsequence_by_table():
+    r = random.Random(6)
+    for _ in range(200):
+        a, b = ("".join(r.choice("abcd") for _ in range(r.randrange(20))) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        assert ctph.common_subsequence(a, b) == best[-1][-1]
+
+
+@pytest.mark.parametrize("byte", list("}q)5)YMA e"))
+def test_runs_of_one_byte_stay_small(byte):
+    """A megabyte of a byte that ends a chunk each time, alone and beside a text: seconds, and short signatures."""
+    run = byte * (1 << 20)
+    a, b = (ctph.fingerprint(t.encode()) for t in (run, run[:-5] + " tail"))
+    assert max(map(len, a.split(":") + b.split(":"))) <= 257
+    assert 0 <= ctph.likeness(a, b) <= 1
 
 
 def brute_units(text, least=10):

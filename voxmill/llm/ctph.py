@@ -1,7 +1,8 @@
 """Context-triggered piecewise hashing: fingerprints that stay alike where texts stay alike.
 
 A rolling hash over the last 7 bytes ends a chunk wherever it hits the block size; each chunk gives one character. The
-block size is 3 * 2^k, the largest that gives `least` characters (or the smallest one), and a second signature is
+block size is 3 * 2^k, the largest that gives `least` characters (or the smallest one); where a short text repeats so that this gives more
+than `most` characters (each byte of a long run may end a chunk), it is the next larger one. A second signature is
 taken at twice the size, so that texts whose block sizes differ by a factor of two can be compared. Likeness is taken
 from the edit distance (insertions and deletions) of signatures at one block size, 1 - distance / both lengths, if they
 share a run of 7 characters (half of the shorter one, if that is less); 0 otherwise. Signatures are never cut: every byte of a text is in a chunk.
@@ -58,8 +59,8 @@ def signature(data: bytes, ends: list[int]) -> str:
     return "".join(out)
 
 
-def fingerprint(data: bytes, least: int = 32) -> str:
-    """block size : signature at it : signature at twice the size."""
+def fingerprint(data: bytes, least: int = 32, most: int = 256) -> str:
+    """block size : signature at it : signature at twice the size; each signature has `most` characters at most."""
     if not data:
         return f"{SMALLEST}::"
     after = rolling(np.frombuffer(data, np.uint8)) + np.uint32(1)
@@ -71,6 +72,9 @@ def fingerprint(data: bytes, least: int = 32) -> str:
         if k == 0 or len(ends) + 1 >= least:
             break
         k -= 1
+    while len(ends) + 1 > most:  # the ends at a size are some of those at half of it
+        k += 1
+        ends = at[(size & np.uint32((1 << k) - 1)) == 0]
     twice = at[(size & np.uint32((2 << k) - 1)) == 0]
     return f"{SMALLEST << k}:{signature(data, (ends + 1).tolist())}:{signature(data, (twice + 1).tolist())}"
 
@@ -160,10 +164,11 @@ def compare_neighbours(df: DataFrame) -> DataFrame:
     down = F.col("doc_id").desc_nulls_last()
     ordered = clean_documents(df).repartitionByRange(down).sortWithinPartitions(down, "text")
     found = materialise(ordered.mapInArrow(_along, SCHEMA), "ctph")
-    # one row for each partition
+    # one head and one tail for each partition; only the partitions' numbers are put in order in one task
     heads, tails = found.where(F.col("kind") == HEAD), found.where(F.col("kind") == TAIL)
     up = Window.orderBy("part")
     whole = up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = heads.select("part", F.coalesce(F.lead("text").over(up), F.first("text").over(whole)).alias("following"))
-    closed = tails.select("part", "doc_id", "text").join(following, "part").select("doc_id", "text", "following").mapInArrow(_ends, SCHEMA)
+    next_part = heads.select("part").select("part", F.coalesce(F.lead("part").over(up), F.first("part").over(whole)).alias("next"))
+    following = next_part.join(heads.select(F.col("part").alias("next"), F.col("text").alias("following")).hint("merge"), "next")
+    closed = tails.select("part", "doc_id", "text").join(following.hint("merge"), "part").select("doc_id", "text", "following").mapInArrow(_ends, SCHEMA)
     return found.where(F.col("kind") == RESULT).union(closed).drop("kind", "part", "text")
