@@ -214,14 +214,83 @@ def test_grammar_patterns():
     assert pattern("you idiot") == [toxicity.AIMED] == pattern("an idiot you are")
     assert pattern("not an idiot") == [toxicity.DENIED] and pattern("she said idiot") == [toxicity.QUOTED]
     assert pattern("not so. an idiot") == [toxicity.PLAIN] and pattern("nothing here") == []
+    assert pattern("not that it ever mattered to idiots") == [toxicity.PLAIN]  # beyond the negation's reach
+    assert pattern("an idiot by any measure that there is you") == [toxicity.PLAIN]  # the target comes too late
     assert pattern("kill you") == [4 + toxicity.AIMED]
 
 
-def test_word_transducer():
-    t = toxicity.WordTransducer()
-    t.add("ab", ("stem",), True)
-    t.add("abc", ("word",), False)
-    assert [t.read(w) for w in ("a", "ab", "abc", "abcd", "xab")] == [None, ("stem",), ("word",), ("stem",), None]
+def test_lexicon():
+    t = toxicity.lexicon([("ab", ("stem", 1.0), True), ("abc", ("word", 1.0), False)])
+    assert [toxicity.look_up(t, w) and toxicity.look_up(t, w)[0] for w in ("a", "ab", "abc", "abcd", "xab")] == [None, "stem", "word", "stem", None]
+
+
+def interpreted(letters):
+    """What each insult or threat of a clause is, from the rules as they are written down."""
+    out, n = [], len(letters)
+    for k, c in enumerate(letters):
+        if c not in "ih":
+            out.append("o")
+        elif "r" in letters[:k]:
+            out.append(c + "q")
+        elif "n" in letters[max(0, k - toxicity.SCOPE) : k]:
+            out.append(c + "d")
+        else:
+            near = range(max(0, k - toxicity.REACH), min(n, k + toxicity.REACH + 1))
+            out.append(c + "a" * any(letters[j] == "t" for j in near))
+    return out
+
+
+def test_clause_transducer_against_the_rules():
+    r = random.Random(8)
+    for _ in range(3000):
+        letters = [r.choice("iiihtnrooooo") for _ in range(r.randrange(1, 14))]
+        assert toxicity.CLAUSE.best_path(letters)[1] == interpreted(letters), letters
+    # an open guess is no final state
+    assert all(s in toxicity.CLAUSE.final or toxicity.CLAUSE.arcs.get((s, "t")) for s in {to for a in toxicity.CLAUSE.arcs.values() for _, _, to in a})
+
+
+def test_composition_against_two_steps():
+    """Best paths of the composed transducer weigh as much as the best over all outputs of the first read by the second."""
+    r = random.Random(2)
+    a, b = toxicity.Transducer(), toxicity.Transducer()
+    for t, outs in ((a, "xy"), (b, "uv")):
+        for state in range(3):
+            if state != 1:
+                t.final[state] = r.random()
+            for label in ("pq" if t is a else "xy"):
+                for _ in range(2):
+                    t.arc(state, label, r.choice(outs), r.random(), r.randrange(3))
+    both = a.compose(b)
+
+    def every(t, labels):
+        paths = [(0, 0.0, ())]
+        for label in labels:
+            paths = [(to, w + x, (*p, o)) for s, w, p in paths for o, x, to in t.arcs.get((s, label), ())]
+        return [(w + t.final[s], p) for s, w, p in paths if s in t.final]
+
+    for labels in itertools.product("pq", repeat=4):
+        want = max((w + x for w, p in every(a, labels) for x, _ in every(b, p)), default=None)
+        got = both.best_path(list(labels))
+        assert (got is None) == (want is None) and (got is None or got[0] == pytest.approx(want))
+
+
+def test_toxicity_features_clause_by_clause():
+    """The features of whole texts from a plain reading of each clause."""
+    g = toxicity.Grammar({"moro": 4.0, "stup": 2.5})
+    r = random.Random(5)
+    vocab = "you moron not stupid said kill they word other never idiot walks. fine, quick; the".split()
+    for _ in range(200):
+        text = " ".join(r.choice(vocab) for _ in range(40))
+        want, clauses = np.zeros(toxicity.N_FEATURES), [c for c in re.split(r"[.!?;:,|\n]+", text) if c.strip()]
+        for c in clauses:
+            ws = re.findall("[a-z]+", c)
+            cls = ["i" if w[:4] in ("moro", "stup") else next((toxicity.LETTER[k] for k, ws_ in toxicity.WORDS.items() if w in ws_.split()), "o") for w in ws]
+            got = [(o, {"moro": 4.0, "stup": 2.5}.get(w[:4], 1.0)) for o, w in zip(interpreted(cls), ws, strict=True) if o != "o"]
+            for o, weight in got:
+                want[toxicity.PATTERN[o]] += weight
+            want[toxicity.MATCHED] += bool(got)
+        want[toxicity.MATCHED] *= 100 / (len(clauses) + 5)
+        assert g.features(text) == pytest.approx(np.log1p(want) if want.any() else want)
 
 
 def test_toxicity_held_out(spark):

@@ -1,14 +1,20 @@
 """Toxicity by a weighted finite-state grammar whose clauses, not single words, are scored.
 
-Word transducers turn letters into classes: insult (stems with weights, learned from labels), threat, target, negation
-and reported speech (closed word lists of four languages). Each is a trie; a stem's final state accepts any further letters. The
-clause transducer is composed over the classes: it reads a clause from left to right, its state remembers which of
-reported speech, negation and target the clause has shown, and an insult or threat takes the arc of that state,
-adding its weight to the arc's pattern. A target may also follow the insult in its clause. A text's
-patterns, the number of different insults and the share of matched clauses are weighed by a logistic model, fitted on the same labels.
+Two levels of weighted transducers (states, arcs with an input, an output, a weight and a next state; final states). The lexicon reads
+letters and gives a word's class: insult (stems with weights, learned from labels), threat, target, negation or reported speech
+(closed word lists of four languages). Three transducers read the classes of a clause, word by word:
 
-Learning reads `most_rows` labelled documents at most (the documented bound: those with the least hash of doc_id); the
-caller names the column that marks rows to learn from. A stem counts once for each distinct text.
+* reported speech: after a word of saying, insults and threats of the clause are quoted;
+* negation: it reaches over the next `SCOPE` words, in which insults and threats are denied;
+* target: an insult or threat is aimed if a target stands within `REACH` words before it, or follows within as many; the latter is a
+  guess that the path has to make good, so the transducer is not deterministic.
+
+They are composed into one, whose best path through a clause says what each insult or threat is: plain, aimed, denied or quoted. The
+arcs of the best path add the lexicon's weights to these patterns. A text's patterns and the share of its matched clauses are weighed by a
+logistic model, fitted on the same labels.
+
+Learning reads `most_rows` labelled documents and `most_chars` code points of them at most (the documented bounds: those with the least
+hash of doc_id); the caller names the column that marks rows to learn from. A stem counts once for each distinct text.
 
 Defined results: a null or empty text has the score of a text without matches. Without labels, or with one label only,
 the score is the smoothed rate of label 1 for every text. Repeated rows have equal scores. Labels that contradict each
@@ -28,9 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import chunks, clean_documents
+from voxmill.llm.common import chunks, clean_documents, materialise
 
+#: Classes of words, and the letter that stands for each in the clause transducers ("o": any other word).
 INSULT, THREAT, TARGET, NEGATION, REPORT = 1, 2, 3, 4, 5
+LETTER = {INSULT: "i", THREAT: "h", TARGET: "t", NEGATION: "n", REPORT: "r"}
+SCOPE, REACH = 4, 4
 
 #: Closed classes in English, German, French and Spanish.
 WORDS = {
@@ -41,44 +50,143 @@ WORDS = {
 }
 LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CLAUSES = re.compile(r"[.!?;:,|\n]+")
-#: Patterns of the clause transducer: (insult or threat) x (plain, at a target, negated, reported).
+#: Patterns of the clause transducer: (insult or threat) x (plain, aimed, denied, quoted).
 PLAIN, AIMED, DENIED, QUOTED = range(4)
 N_PATTERNS = 8
-DIFFERENT, MATCHED, N_FEATURES = N_PATTERNS, N_PATTERNS + 1, N_PATTERNS + 2
+MATCHED, N_FEATURES = N_PATTERNS, N_PATTERNS + 1
 #: Cached words of a worker process; beyond it the cache starts anew.
 CACHED_WORDS = 300_000
 
 
-class WordTransducer:
-    """Tries over letters. A final state gives (class, weight, arc id) to a whole word, or to any word that starts so."""
+class Transducer:
+    """A weighted finite-state transducer; state 0 is the first. arcs: (state, input) to a list of (output, weight, next state)."""
 
     def __init__(self):
-        self.root: dict = {}
-
-    def add(self, word: str, output: tuple, stem: bool) -> None:
-        node = self.root
-        for c in word:
-            node = node.setdefault(c, {})
-        node["stem" if stem else "word"] = output
-
-    def read(self, word: str) -> tuple | None:
-        """Output of the longest accepting path."""
-        node, best = self.root, None
+        self.arcs: dict[tuple[int, str], list[tuple[object, float, int]]] = {}
+        self.final: dict[int, float] = {}
+
+    def arc(self, state: int, label: str, output: object, weight: float, to: int) -> None:
+        self.arcs.setdefault((state, label), []).append((output, weight, to))
+
+    def compose(self, other: Transducer) -> Transducer:
+        """This one's outputs read by the other: pairs of states that are reached from (0, 0)."""
+        number, todo, out = {(0, 0): 0}, [(0, 0)], Transducer()
+        labels = {label for _, label in self.arcs}
+        while todo:
+            pair = todo.pop()
+            if pair[0] in self.final and pair[1] in other.final:
+                out.final[number[pair]] = self.final[pair[0]] + other.final[pair[1]]
+            for label in sorted(labels):
+                for middle, w, a in self.arcs.get((pair[0], label), ()):
+                    for output, x, b in other.arcs.get((pair[1], middle), ()):
+                        if (a, b) not in number:
+                            number[(a, b)] = len(number)
+                            todo.append((a, b))
+                        out.arc(number[pair], label, output, w + x, number[(a, b)])
+        return out
+
+    def best_path(self, labels: list[str]) -> tuple[float, list] | None:
+        """The greatest weight of a path that reads the labels and ends finally, and its outputs; the first found of equal ones."""
+        best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        for label in labels:
+            new: dict[int, tuple[float, tuple | None]] = {}
+            for state, (weight, path) in best.items():
+                for output, w, to in self.arcs.get((state, label), ()):
+                    if to not in new or weight + w > new[to][0]:
+                        new[to] = (weight + w, (path, output))
+            best = new
+        ends = [(weight + self.final[state], path) for state, (weight, path) in best.items() if state in self.final]
+        if not ends:
+            return None
+        weight, path = max(ends, key=lambda e: e[0])
+        outputs = []
+        while path is not None:
+            path, output = path
+            outputs.append(output)
+        return weight, outputs[::-1]
+
+
+def lexicon(words: list[tuple[str, tuple, bool]]) -> Transducer:
+    """Letters to an output: each word (or stem, which any letters may follow) with its output, on the arc of its last letter."""
+    out, used = Transducer(), 1
+    for word, output, stem in words:
+        state = 0
         for c in word:
-            node = node.get(c)
-            if node is None:
-                return best
-            best = node.get("stem", best)
-        return node.get("word", best)
-
-
-def clause_step(state: int, cls: int) -> int:
-    """State after a word of a class: bit 0 target seen, bit 1 negation seen, bit 2 reported speech seen."""
-    return state | {TARGET: 1, NEGATION: 2, REPORT: 4}.get(cls, 0)
-
-
-def pattern_of(state: int) -> int:
-    return QUOTED if state & 4 else DENIED if state & 2 else AIMED if state & 1 else PLAIN
+            there = out.arcs.get((state, c))
+            if there is None:
+                out.arc(state, c, None, 0.0, used)
+                there, used = out.arcs[(state, c)], used + 1
+            state = there[0][2]
+        out.final.setdefault(state, 0.0)
+        out.arc(state, "stem" if stem else "word", output, output[1], state)
+    return out
+
+
+def look_up(words: Transducer, word: str) -> tuple | None:
+    """The output of the longest entry that the word is, or (a stem) that it starts with."""
+    state, best = 0, None
+    for c in word:
+        there = words.arcs.get((state, c))
+        if there is None:
+            return best
+        state = there[0][2]
+        best = words.arcs.get((state, "stem"), [(best,)])[-1][0]
+    return words.arcs.get((state, "word"), [(best,)])[-1][0]
+
+
+def report_transducer() -> Transducer:
+    t = Transducer()
+    for state in (0, 1):
+        t.final[state] = 0.0
+        t.arc(state, "r", "o", 0.0, 1)
+        for label in "tno":
+            t.arc(state, label, label, 0.0, state)
+        for label in "ih":
+            t.arc(state, label, label + "q" * state, -0.5 * state, state)
+    return t
+
+
+def negation_transducer(scope: int = SCOPE) -> Transducer:
+    """State: how many words the last negation still reaches."""
+    t = Transducer()
+    for state in range(scope + 1):
+        t.final[state] = 0.0
+        t.arc(state, "n", "o", 0.0, scope)
+        for label in ("t", "o", "iq", "hq"):
+            t.arc(state, label, label, 0.0, max(state - 1, 0))
+        for label in "ih":
+            t.arc(state, label, label + "d" * (state > 0), -0.5 * (state > 0), max(state - 1, 0))
+    return t
+
+
+def target_transducer(reach: int = REACH) -> Transducer:
+    """States 0 to reach: for how many words the last target still counts; above: in how many words a target has to come."""
+    t = Transducer()
+    for state in range(reach + 1):
+        t.final[state] = 0.0
+        rest = max(state - 1, 0)
+        t.arc(state, "t", "o", 0.0, reach)
+        for label in ("o", "iq", "hq", "id", "hd"):
+            t.arc(state, label, label, 0.0, rest)
+        for label in "ih":
+            if state:
+                t.arc(state, label, label + "a", 1.0, rest)
+            else:
+                t.arc(state, label, label, 0.0, 0)
+                t.arc(state, label, label + "a", 1.0, 2 * reach)
+    for state in range(reach + 1, 2 * reach + 1):  # not final: the guess is still open
+        t.arc(state, "t", "o", 0.0, reach)
+        if state > reach + 1:
+            for label in ("o", "iq", "hq", "id", "hd"):
+                t.arc(state, label, label, 0.0, state - 1)
+            for label in "ih":
+                t.arc(state, label, label + "a", 1.0, state - 1)
+    return t
+
+
+#: Reads the letters of a clause's words; gives "o", or an insult's or threat's letter with its pattern.
+CLAUSE = report_transducer().compose(negation_transducer()).compose(target_transducer())
+PATTERN = {label + mark: 4 * kind + k for kind, label in enumerate("ih") for k, mark in enumerate(("", "a", "d", "q"))}
 
 
 @dataclass
@@ -88,12 +196,8 @@ class Grammar:
     bias: float = 0.0
 
     def __post_init__(self):
-        self.words = WordTransducer()
-        for cls, text in WORDS.items():
-            for w in text.split():
-                self.words.add(w, (cls, 1.0, w), False)
-        for s, w in self.stems.items():
-            self.words.add(s, (INSULT, w, s), True)
+        closed = [(w, (cls, 1.0), False) for cls, text in WORDS.items() for w in text.split()]
+        self.words = lexicon(closed + [(s, (INSULT, w), True) for s, w in self.stems.items()])
         self.cache: dict[str, tuple] = {}
 
     def __getstate__(self):
@@ -104,36 +208,33 @@ class Grammar:
         self.__post_init__()
 
     def classes(self, word: str) -> tuple:
-        """Outputs of what is written between two spaces."""
+        """(class, weight) of each word in what is written between two spaces; (0, 0.0) of words without a class."""
         got = self.cache.get(word)
         if got is None:
             if len(self.cache) > CACHED_WORDS:
                 self.cache.clear()
-            got = self.cache[word] = tuple(x for w in LETTERS.findall(word.lower()) if (x := self.words.read(w)))
+            got = self.cache[word] = tuple(look_up(self.words, w) or (0, 0.0) for w in LETTERS.findall(word.lower()))
         return got
 
+    def clause(self, text: str) -> list[tuple[int, float]]:
+        """(pattern, weight) of each insult and threat on the best path through a clause."""
+        read = [c for word in text.split() for c in self.classes(word)]
+        if not any(0 < cls <= THREAT for cls, _ in read):
+            return []  # the path's outputs are all "o"
+        _, outputs = CLAUSE.best_path([LETTER.get(cls, "o") for cls, _ in read])
+        return [(PATTERN[o], weight) for o, (_, weight) in zip(outputs, read, strict=True) if o != "o"]
+
     def features(self, text: str) -> np.ndarray:
         out = np.zeros(N_FEATURES)
-        seen = set()
-        if not any(x[0] <= THREAT for w in set(text.split()) for x in self.classes(w)):
-            return out  # no arc of the clause transducer can fire
+        if not any(0 < cls <= THREAT for w in set(text.split()) for cls, _ in self.classes(w)):
+            return out  # no clause can match
         clauses = [c for c in CLAUSES.split(text) if c.strip()]
         matched = 0
         for clause in clauses:
-            state, waiting = 0, []
-            for word in clause.split():
-                for cls, weight, arc in self.classes(word):
-                    if cls <= THREAT:
-                        waiting.append((cls, weight, state))
-                        if cls == INSULT:
-                            seen.add(arc)
-                    else:
-                        state = clause_step(state, cls)
-            matched += bool(waiting)
-            for cls, weight, before in waiting:
-                # what follows in the clause can add a target or a report, not a negation
-                out[4 * (cls - 1) + pattern_of(before | (state & 5))] += weight
-        out[DIFFERENT] = len(seen)
+            found = self.clause(clause)
+            matched += bool(found)
+            for pattern, weight in found:
+                out[pattern] += weight
         out[MATCHED] = 100 * matched / (len(clauses) + 5)
         return np.log1p(out)
 
@@ -191,12 +292,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = 8000) -> Grammar:
-    """A grammar from the labelled documents that are not held out, most_rows at most."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = 8000, most_chars: int = 64_000_000) -> Grammar:
+    """A grammar from the labelled documents that are not held out, most_rows and most_chars at most; of a repeated doc_id the least text."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max(label).alias("y"))
     known = known.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    rows = clean_documents(docs).join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    texts = clean_documents(docs).join(F.broadcast(known), F.col("doc_id") == F.col("id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    texts = materialise(texts.withColumn("chars", F.length("text")), "labelled")
+    so_far, picked = 0, []
+    for r in texts.select("doc_id", "chars").orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # most_rows at most
+        so_far += r.chars
+        if so_far <= most_chars or not picked:
+            picked.append((r.doc_id,))
+    if not picked:
+        return fit([], [])
+    own = docs.sparkSession.createDataFrame(picked, "doc_id long")
+    rows = texts.join(F.broadcast(own), "doc_id").select("doc_id", "text", "y").collect()
+    rows.sort(key=lambda r: r.doc_id)
     return fit([r.text for r in rows], [int(r.y) for r in rows])
 
 
