@@ -184,6 +184,38 @@ def test_deep_shallow_orders():
     assert head.tolist() == [i for i in range(len(text)) if i == 0 or text[i] != text[i - 1]]
 
 
+@pytest.mark.parametrize("small", [1, 7, 512])
+def test_three_way_partition(small):
+    r = np.random.default_rng(small)
+    key = r.integers(0, 40, 900).astype(np.uint64)
+    bounds = [(0, 300), (300, 301), (350, 900)]
+    order, got = np.arange(900), key.copy()
+    new = suffixes.three_way(order, got, bounds, small)
+    for a, b in bounds:
+        assert (got[a:b] == np.sort(key[a:b])).all() and (key[order[a:b]] == got[a:b]).all()
+        assert [k for k in range(a, b) if new[k]] == [k for k in range(a, b) if k == a or got[k] != got[k - 1]]
+    assert (order[301:350] == np.arange(301, 350)).all()
+
+
+def test_equal_digests_are_compared():
+    """Texts that share a digest but not their bytes are no copies."""
+    raw = np.frombuffer(b"aaaaaaaaaabbbbbbbbbbaaaaaaaaaaccccccccccaaaaaaaaaaaaaaaa", np.uint8)
+    at, size = np.array([0, 10, 20, 30, 40]), np.array([10, 10, 10, 10, 10])
+    same = np.zeros(5, np.uint64)
+    order, begin = suffixes.verified(suffixes.words_at_each(raw), at, size, *suffixes.classes(same, same))
+    groups = [set(order[a:b].tolist()) for a, b in zip(begin, [*begin[1:], 5], strict=True)]
+    assert sorted(map(sorted, groups)) == [[0, 2, 4], [1], [3]]
+
+
+@pytest.mark.parametrize("unit", [" ", "-", "=-", "abc ", "0123456"])
+def test_periodic_texts_and_hot_anchors(spark, make, unit):
+    """Long runs of a short unit in many documents, with copies inside a document and across them."""
+    r = random.Random(len(unit))
+    rows = [(k, unit * r.randrange(0, 400 // len(unit)) + r.choice(["", "tail", "tail" * 20]) + unit * r.randrange(0, 90)) for k in range(40)]
+    assert removed(make(rows)) == covered(rows)
+    assert removed(make(rows), bucket_bytes=3000, flush_bytes=4000, slice_bytes=700) == covered(rows)
+
+
 def test_blind_trie():
     words = [b"abcd", b"abce", b"abcd", b"xbcd", b"abxd", b"aaaa"]
     t = suffixes.BlindTrie(words)

@@ -4,14 +4,15 @@ Which suffixes are compared: every string of `length` bytes holds one anchor, th
 it (the leftmost if several tie), and equal strings have equal anchors. Consecutive strings with the same anchor make one run, at
 most 2 * length - 8 bytes long, and each run goes to the bucket of its anchor, so equal strings always meet there.
 
-In a bucket, runs of equal text (by a 128-bit digest) are one class: those of a later document than the class's first are
+In a bucket, runs of equal text (found by a 128-bit digest, then compared byte for byte) are one class: those of a later document than the class's first are
 covered whole. Of each class one run goes on, if another class shares with it the anchor and enough bytes to its left or
 right for a common string. The suffixes of these runs, cut to `length` bytes, are sorted: multikey quicksort by 8-byte
-big-endian words down to a shallow depth, then blind tries order the groups that are still tied. Suffixes in one leaf
+big-endian words (three-way parting around a pivot, level by level) down to a shallow depth, then blind tries order the groups that are still tied. Suffixes in one leaf
 are equal strings; all that belong to a later document than the leaf's first are covered.
 
 Scale: runs equal to one of an earlier document in the same map task are settled there and not sent (that also thins
-hot passages before the shuffle). Runs travel as compressed blocks, one for each bucket and flush; a bucket larger than
+hot passages before the shuffle). Tasks are as many as the counted bytes ask for, `task_bytes` of documents to each, and buckets eight times
+that. Runs travel as compressed blocks, one for each bucket and flush; a bucket larger than
 `bucket_bytes` is worked off in several passes over its blocks. Covered intervals travel as compressed blocks to the part of their
 document, and the documents themselves are shuffled once, each compressed, and streamed past them.
 
@@ -106,6 +107,25 @@ def classes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
+def verified(words: np.ndarray, at: np.ndarray, size: np.ndarray, order: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes with the texts themselves compared: members that are unlike their class's first become classes of their own."""
+    if not len(order):
+        return order, begin
+    lead = np.repeat(order[begin], np.diff([*begin, len(order)]))
+    like = size[order] == size[lead]
+    for j in range(0, int(size.max(initial=0)), GRAM):
+        on = np.flatnonzero(like & (size[order] > j))
+        a, b = order[on], lead[on]
+        like[on] = words[at[a] + np.minimum(j, size[a] - GRAM)] == words[at[b] + np.minimum(j, size[b] - GRAM)]
+    if like.all():
+        return order, begin
+    # two texts of one 128-bit digest: each unlike member stands alone, behind the others of its class
+    of_class = np.repeat(np.arange(len(begin)), np.diff([*begin, len(order)]))
+    by = np.lexsort((~like, of_class))
+    order, alone = order[by], ~like[by]
+    return order, np.flatnonzero(np.r_[True, of_class[by][1:] != of_class[by][:-1]] | alone)
+
+
 def least_of_class(order: np.ndarray, begin: np.ndarray, value: np.ndarray) -> np.ndarray:
     """For each element, the least value in its class."""
     out = np.empty_like(value)
@@ -157,7 +177,40 @@ class BlindTrie:
                 yield node
 
 
-def deep_shallow(raw: np.ndarray, places: np.ndarray, length: int, shallow: int = 32) -> tuple[np.ndarray, np.ndarray]:
+def three_way(order: np.ndarray, key: np.ndarray, bounds: list[tuple[int, int]], small: int) -> np.ndarray:
+    """One level of multikey quicksort: sorts the stretches `bounds` of order and key, in place, by key; True where a new value begins.
+
+    A stretch is parted into what is less than, equal to and greater than a pivot (the median of three keys); the equal part is done, the
+    others go on. Stretches of `small` elements at most are sorted together at the end.
+    """
+    new, todo, rest = np.zeros(len(order) + 1, bool), list(bounds), []
+    for lo, hi in bounds:
+        new[lo] = new[hi] = True
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo <= small:
+            if hi > lo:
+                rest.append((lo, hi))
+            continue
+        k = key[lo:hi]
+        pivot = sorted((k[0], k[(hi - lo) // 2], k[-1]))[1]
+        less, more = k < pivot, k > pivot
+        moved = np.concatenate([np.flatnonzero(less), np.flatnonzero(~(less | more)), np.flatnonzero(more)])
+        order[lo:hi], key[lo:hi] = order[lo:hi][moved], k[moved]
+        a, b = lo + int(less.sum()), hi - int(more.sum())
+        new[a] = new[b] = True
+        todo += [(lo, a), (b, hi)]
+    if rest:
+        lo, hi = np.array(sorted(rest)).T
+        size = hi - lo
+        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        by = np.lexsort((key[at], np.repeat(lo, size)))
+        order[at], key[at] = order[at][by], key[at][by]
+        new[at[1:]] |= key[at[1:]] != key[at[:-1]]
+    return new
+
+
+def deep_shallow(raw: np.ndarray, places: np.ndarray, length: int, shallow: int = 32, small: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes at `places`, cut to `length` bytes, and where each class of equal ones begins in it."""
     words, n = words_at_each(raw), len(places)
     order = np.arange(n)
@@ -169,12 +222,11 @@ def deep_shallow(raw: np.ndarray, places: np.ndarray, length: int, shallow: int
         key = words[places[order[live]] + depth + step - GRAM if step < GRAM else places[order[live]] + depth].byteswap()
         if step < GRAM:  # the word ends at the string's end
             key = key & np.uint64((1 << 8 * step) - 1)
-        by = np.lexsort((key, group[live]))
-        order[live], key = order[live][by], key[by]
         g = group[live]  # groups stay where they are
-        new = np.ones(len(live), bool)
-        new[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1])
-        first = np.flatnonzero(new)
+        cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
+        own = order[live]
+        first = np.flatnonzero(three_way(own, key, list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)), small)[:-1])
+        order[live] = own
         size = np.diff([*first, len(live)])
         group[live] = np.repeat(live[first], size)
         live = live[np.repeat(size > 1, size)]
@@ -209,7 +261,7 @@ def pack_block(doc: np.ndarray, ids: np.ndarray, tags: np.ndarray, arrays: list[
     used, own = np.unique(doc, return_inverse=True)
     head = struct.pack("<II", len(used), len(doc))
     parts = [np.diff(ids[used], prepend=np.int64(0)), tags[used], np.diff(own, prepend=0).astype("<u4"), *arrays]
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(x.tobytes() for x in parts))
+    return zstandard.ZstdCompressor(level=6).compress(head + b"".join(x.tobytes() for x in parts))
 
 
 def unpack_block(block: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
@@ -217,7 +269,7 @@ def unpack_block(block: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(block)
     docs, n = struct.unpack_from("<II", raw)
     at, out = 8, []
-    for kind, count in (("<i8", docs), ("<u2", docs), ("<u4", n), *((k, n) for k in kinds)):
+    for kind, count in (("<i8", docs), ("<u8", docs), ("<u4", n), *((k, n) for k in kinds)):
         out.append(np.frombuffer(raw, kind, count, at))
         at += out[-1].nbytes
     ids, own = np.cumsum(out[0]), np.cumsum(out[2], dtype=np.int64)
@@ -232,7 +284,7 @@ class Intervals:
 
     def add(self, ids, tags, start, stop) -> None:
         if len(ids):
-            self.held.append((ids.astype(np.int64), tags.astype("<u2"), start.astype("<u4"), stop.astype("<u4")))
+            self.held.append((ids.astype(np.int64), tags.astype("<u8"), start.astype("<u4"), stop.astype("<u4")))
             self.count += len(ids)
 
     def flush(self) -> list[tuple[int, bytes]]:
@@ -256,12 +308,14 @@ def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64) * M1) % np.uint64(parts)).astype(np.int64)
 
 
-def remove_repeats(df: DataFrame, length: int = 50, buckets: int | None = None, bucket_bytes: int = 24 << 20, flush_bytes: int = 40 << 20, slice_bytes: int = 1 << 20) -> DataFrame:
+def remove_repeats(df: DataFrame, length: int = 50, buckets: int | None = None, bucket_bytes: int = 24 << 20, flush_bytes: int = 40 << 20, slice_bytes: int = 1 << 20, task_bytes: int = 128 << 20) -> DataFrame:
     """doc_id, n_bytes, removed (array of start, stop in bytes), kept (binary); one row for each row of df."""
     if length < 3 * GRAM or 2 * length - GRAM > 255:
         raise ValueError("length must be from 24 to 131 bytes")
     spark = df.sparkSession
-    parts = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs_bytes = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + docs_bytes // task_bytes)
+    parts = buckets or 8 * tasks
     half = (length - GRAM + 1) // 2  # a common string has this many bytes left of its anchor, or right of it
     docs = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -272,13 +326,15 @@ def remove_repeats(df: DataFrame, length: int = 50, buckets: int | None = None,
         def flush():
             nonlocal held, size, known
             doc, start, width, off, gram, da, db, text = (np.concatenate(x) for x in zip(*held, strict=True))
-            ids, tags = np.array([k[0] for k in known], np.int64), np.array([k[1] for k in known], "<u2")
+            ids, tags = np.array([k[0] for k in known], np.int64), np.array([k[1] for k in known], "<u8")
             rank = np.argsort(ids, kind="stable")
             back = np.empty(len(rank), np.int64)
             back[rank] = np.arange(len(rank))
             ids, tags, doc = ids[rank], tags[rank], back[doc]
             begin = np.cumsum(width, dtype=np.int64) - width
-            least = least_of_class(*classes(da, db), ids[doc])
+            held_words = words_at_each(text)
+            wide = width.astype(np.int64)
+            least = least_of_class(*verified(held_words, begin, wide, *classes(da, db)), ids[doc])
             here = ids[doc] > least
             covered.add(ids[doc[here]], tags[doc[here]], start[here], start[here] + width[here])
             bucket = (mix(gram * M3) % np.uint64(parts)).astype(np.int64)
@@ -303,7 +359,7 @@ def remove_repeats(df: DataFrame, length: int = 50, buckets: int | None = None,
                 raw, offsets = string_bytes(piece.column("text"))
                 ids = np.asarray(piece.column("id"))
                 base = len(known)
-                known += [(int(i), xxhash.xxh64_intdigest(raw[a:b]) & 0xFFFF) for i, a, b in zip(ids, offsets[:-1], offsets[1:], strict=True)]
+                known += [(int(i), xxhash.xxh64_intdigest(raw[a:b])) for i, a, b in zip(ids, offsets[:-1], offsets[1:], strict=True)]
                 for lo, seg, segoff in segments(raw, offsets, length):
                     doc, first, last, anchor = runs(seg, segoff, length)
                     if not len(doc):
@@ -317,7 +373,7 @@ def remove_repeats(df: DataFrame, length: int = 50, buckets: int | None = None,
                     if size > flush_bytes:
                         yield from rows(flush())
                         base = 0
-                        known = [(int(i), xxhash.xxh64_intdigest(raw[a:b]) & 0xFFFF) for i, a, b in zip(ids, offsets[:-1], offsets[1:], strict=True)]
+                        known = [(int(i), xxhash.xxh64_intdigest(raw[a:b])) for i, a, b in zip(ids, offsets[:-1], offsets[1:], strict=True)]
         if held:
             yield from rows(flush())
 
@@ -350,13 +406,13 @@ def remove_repeats(df: DataFrame, length: int = 50, buckets: int | None = None,
         if covered.count:
             yield out(covered.flush())
 
-    sent = docs.mapInArrow(send, "kind int, part long, block binary").repartition("kind", "part").sortWithinPartitions("kind", "part")
+    sent = docs.mapInArrow(send, "kind int, part long, block binary").repartition(tasks, "kind", "part").sortWithinPartitions("kind", "part")
     found = sent.mapInArrow(sort, "part long, block binary")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch, "text", 8 << 20):
-                ids, press = np.asarray(piece.column("id")), zstandard.ZstdCompressor(level=1)
+                ids, press = np.asarray(piece.column("id")), zstandard.ZstdCompressor(level=4)
                 texts = pa.array([press.compress(t.as_py()) for t in piece.column("text").cast(pa.binary())], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(part_of(ids, parts)), piece.column("id"), texts], names=["part", "id", "data"])
 
@@ -377,7 +433,7 @@ def remove_repeats(df: DataFrame, length: int = 50, buckets: int | None = None,
                     if blocks:
                         of, blocks = merged(blocks), []
                     data = open_.decompress(data)
-                    spans = of.get((i, xxhash.xxh64_intdigest(data) & 0xFFFF))
+                    spans = of.get((i, xxhash.xxh64_intdigest(data)))
                     kept, at = [], 0
                     for a, b in spans if spans is not None else ():
                         kept.append(data[at:a])
@@ -389,7 +445,7 @@ def remove_repeats(df: DataFrame, length: int = 50, buckets: int | None = None,
                 if rows[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["doc_id", "n_bytes", "removed", "kept"])
 
-    return both.repartition("part").sortWithinPartitions("part", "turn").mapInArrow(cut, "doc_id long, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
+    return both.repartition(tasks, "part").sortWithinPartitions("part", "turn").mapInArrow(cut, "doc_id long, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -434,7 +490,7 @@ def bucket_suffixes(blocks: list[bytes], k: int, passes: int, length: int, half:
     ids, tags, start, width, off, gram, begin = (x[live] for x in (ids, tags, start, width, off, gram, begin))
     off = off.astype(np.int64)
     words = words_at_each(raw)
-    order, head = classes(*text_digests(words, begin, width))
+    order, head = verified(words, begin, width, *classes(*text_digests(words, begin, width)))
     size = np.diff([*head, len(order)])
     of_class = np.empty(len(order), np.int64)
     of_class[order] = np.repeat(np.arange(len(head)), size)
