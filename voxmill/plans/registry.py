@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxmill.operators import distance, filters, graph, measure, mesh, morph, pool, sets, skeleton, stencil, voxelize
 from voxmill.operators.frame import voxels
-from voxmill.sources.clouds import box_mesh, cloud, sql
+from voxmill.sources.clouds import cloud, sql
 
 FACES = stencil.FACES
 OFFSETS = {c: stencil.neighbor_offsets(c) for c in (6, 18, 26)}
@@ -87,7 +87,8 @@ def _register() -> None:
     add("exposed_faces", on("c40", stencil.exposed_faces), f"{C40_FACES} SELECT x, y, z, CAST(axis AS INTEGER) AS axis, CAST(side AS INTEGER) AS side FROM f")
     add("surface_voxels", on("c40", stencil.surface_voxels), f"{C40_FACES} SELECT DISTINCT x, y, z FROM f")
     add("contact_fixes", on("c97", morph.contact_fixes), _contact_sql())
-    add("make_manifold", on("c97", partial(morph.make_manifold, max_iter=None)))
+    add("make_manifold", on("c97", morph.make_manifold), _manifold_sql(8))
+    add("make_manifold_whole", on("c97", partial(morph.make_manifold, max_iter=None)))
     # measures
     add("volume", on("c40", partial(measure.volume, spacing=(4, 4, 40))), f"SELECT count(*) * 640.0::DOUBLE AS volume FROM ({A})")
     add("surface_area", on("c40", partial(measure.surface_area, spacing=(4, 4, 40))), f"{C40_FACES} SELECT sum(CASE axis WHEN 0 THEN 160 WHEN 1 THEN 160 ELSE 16 END)::DOUBLE AS surface_area FROM f")
@@ -122,7 +123,7 @@ def _register() -> None:
         add(name, on("c97" if name == "maximum" else "c40", lambda a, op=getattr(filters, name): op(a, ["value"])), rank(rank(rank(src, 0), 1), 2))
     # distance: squared, so that it is a whole number
     add("squared_distance", on("c97", lambda a: distance.squared_distance(a, (3, 1, 2)).withColumn("g", F.col("g").cast("long"))), _distance_sql("c97", (3, 1, 2)))
-    add("distance_transform", on("c40", lambda a: distance.distance_transform(a.select("x", "y", "z")).withColumn("distance", F.round("distance", 9))))
+    add("distance_transform", on("c40", lambda a: distance.distance_transform(a.select("x", "y", "z")).withColumn("distance", F.round("distance", 9))), f"SELECT x, y, z, round(sqrt(g), 9) AS distance FROM ({sql('c40')}) r JOIN ({_distance_sql('c40', (1, 1, 1))}) d USING (x, y, z)")
     # graphs
     for c in (6, 18, 26):
         add(f"adjacent{c}", on("c97", lambda a, c=c: graph.adjacent(a, c).selectExpr("a.x AS ax", "a.y AS ay", "a.z AS az", "b.x AS bx", "b.y AS by_", "b.z AS bz")), f"WITH v AS ({distinct('c97')}) SELECT v.x AS ax, v.y AS ay, v.z AS az, n.x AS bx, n.y AS by_, n.z AS bz FROM v CROSS JOIN {values([o for o in OFFSETS[c] if o > (0, 0, 0)])} JOIN v n ON n.x = v.x + dx AND n.y = v.y + dy AND n.z = v.z + dz")
@@ -133,11 +134,11 @@ def _register() -> None:
     six = f"""WITH RECURSIVE v AS MATERIALIZED ({ids.format(distinct('c97'))}), e AS MATERIALIZED (SELECT v.id AS a, n.id AS b FROM v CROSS JOIN {values(OFFSETS[6])} JOIN v n ON n.x = v.x + dx AND n.y = v.y + dy AND n.z = v.z + dz),
 r AS (SELECT id AS a, id AS b FROM v UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), root AS (SELECT a AS id, min(b) AS m FROM r GROUP BY a)"""
     add("components6", on("c97", lambda a: graph.connected_components(voxels(a), 6)), f"{six} SELECT x, y, z, dense_rank() OVER (ORDER BY m) - 1 AS label FROM v JOIN root USING (id)")
-    add("components26", on("c97", lambda a: graph.connected_components(voxels(a), 26)))
+    add("components26", on("c97", lambda a: graph.connected_components(voxels(a), 26)), f"{_rooted_sql(distinct('c97'), 26)} SELECT x, y, z, dense_rank() OVER (ORDER BY m) - 1 AS label FROM v JOIN root USING (id)")
     labelled = f"{six}, rows AS (SELECT s.x, s.y, s.z, s.row_id, m FROM ({sql('c97')}) s JOIN v USING (x, y, z) JOIN root USING (id)), n AS (SELECT m, count(*) AS n FROM rows GROUP BY m)"
     add("largest_component", on("c97", lambda a: graph.largest_component(a.select("x", "y", "z", "row_id"), 6)), f"{labelled} SELECT x, y, z, row_id FROM rows WHERE m = (SELECT m FROM n ORDER BY n DESC, m LIMIT 1)")
     add("remove_small_objects", on("c97", lambda a: graph.remove_small_objects(a.select("x", "y", "z", "row_id"), 4, 6)), f"{labelled} SELECT x, y, z, row_id FROM rows JOIN n USING (m) WHERE n >= 4")
-    add("fill_cavities", on("c40", graph.fill_cavities))
+    add("fill_cavities", on("c40", graph.fill_cavities), _cavity_sql(A, 8))
     add("fill_cavities_closing", on("o40", partial(graph.fill_cavities, mode="closing")), eroded(dilated(B, 6), 6))
     # meshes, as geometry
     add("culled_vertices", on("c40", lambda a: mesh.culled_faces(a)[0].select("x", "y", "z")), f"{C40_FACES}, t(s, t) AS (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) SELECT DISTINCT x + CASE axis WHEN 0 THEN (side + 1) // 2 WHEN 1 THEN t ELSE s END AS x, y + CASE axis WHEN 1 THEN (side + 1) // 2 WHEN 2 THEN t ELSE s END AS y, z + CASE axis WHEN 2 THEN (side + 1) // 2 WHEN 0 THEN t ELSE s END AS z FROM f, t")
@@ -150,14 +151,25 @@ x + CASE axis WHEN 0 THEN (side - 1) // 2 WHEN 1 THEN t - 1 ELSE s - 1 END AS cx
 2 * x + CASE axis WHEN 0 THEN side ELSE 0 END AS mx, 2 * y + CASE axis WHEN 1 THEN side ELSE 0 END AS my, 2 * z + CASE axis WHEN 2 THEN side ELSE 0 END AS mz FROM f, t)
 SELECT cx, cy, cz, round(sum(mx) / (2 * count(*)), 9) AS x, round(sum(my) / (2 * count(*)), 9) AS y, round(sum(mz) / (2 * count(*)), 9) AS z FROM c GROUP BY cx, cy, cz""")
     add("surface_nets_faces", on("c40", lambda a: mesh.mesh(a)[1].agg(F.count("*").alias("faces"))), f"{C40_FACES} SELECT 2 * count(*) AS faces FROM f")
-    # voxelization of a box whose cells are -2 to 2 on each axis
-    cells = "SELECT x, y, z FROM (SELECT unnest(range(-2, 3)) AS x) a, (SELECT unnest(range(-2, 3)) AS y) b, (SELECT unnest(range(-2, 3)) AS z) c"
-    box = lambda spark: box_mesh(spark, -2.5, 2.5)
-    for rule in ("parity", "winding"):
-        add(f"voxelize_{rule}", lambda spark, sf_dir, rule=rule: voxelize.voxelize(*box(spark), spacing=1.3, rule=rule), cells)
-    add("voxelize_axes3", lambda spark, sf_dir: voxelize.voxelize(*box(spark), spacing=1.3, axes=3), cells)
-    add("voxelize_surface", lambda spark, sf_dir: voxelize.voxelize(*box(spark), spacing=1.3, solid=False), f"SELECT * FROM ({cells}) WHERE greatest(abs(x), abs(y), abs(z)) = 2")
-
+    # faces with their winding, corner by corner
+    add("culled_triangles", on("c40", lambda a: corners(*mesh.culled_faces(a))), f"{C40_FACES}, {TURNS}, t AS (SELECT x AS i, y AS j, z AS k, axis, side, tri, corner, {_place(['x', 'y', 'z'], '(side + 1) // 2', 's', 't')} FROM f JOIN turns USING (side)) {_corners_sql('i, j, k, axis, side, tri')}")
+    rects = _SQL["greedy_rectangles"]
+    add("greedy_triangles", on("c40", lambda a: corners(*mesh.greedy_faces(a))), f"WITH r AS ({rects}), {TURNS}, t AS (SELECT axis, side, plane, u0, u1, v0, v1, tri, corner, {_place(['0', '0', '0'], 'plane + (side + 1) // 2', 'CASE s WHEN 1 THEN u1 + 1 ELSE u0 END', 'CASE t WHEN 1 THEN v1 + 1 ELSE v0 END')} FROM r JOIN turns USING (side)) {_corners_sql('axis, side, plane, u0, u1, v0, v1, tri')}")
+    rounded_net = lambda a: (lambda v, f: corners(v.select("vid", *(F.round(c, 6).alias(c) for c in "xyz")), f))(*mesh.surface_nets(a))
+    net = _SQL["surface_net_vertices"].replace(distinct("c97"), distinct("c40"))
+    add("surface_net_triangles", on("c40", rounded_net), f"{C40_FACES}, {TURNS}, n AS ({net}), q AS (SELECT x AS i, y AS j, z AS k, axis, side, tri, corner, {_place(['x', 'y', 'z'], '(side - 1) // 2', 's - 1', 't - 1')} FROM f JOIN turns USING (side)), t AS (SELECT i, j, k, axis, side, tri, corner, round(n.x, 6) AS px, round(n.y, 6) AS py, round(n.z, 6) AS pz FROM q JOIN n ON n.cx = px AND n.cy = py AND n.cz = pz) {_corners_sql('i, j, k, axis, side, tri')}")
+    # voxelization of a cloud's own mesh, moved by a quarter of a cell so that no face lies between cells
+    touched = f"SELECT DISTINCT {_place(['x', 'y', 'z'], '(side + 1) // 2', 's', 't')} FROM f, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) c(s, t)"
+    for name in ("c40", "o40"):
+        surface = f"SELECT px AS x, py AS y, pz AS z FROM ({FACES_SQL.format(v=distinct(name))} {touched})"
+        whole = f"{distinct(name)} UNION {surface}"
+        if name == "c40":
+            add("voxelize_surface", on(name, lambda a: voxelize.voxelize(*moved(a), solid=False)), surface)
+            add("voxelize_parity", on(name, lambda a: voxelize.voxelize(*moved(a), rule="parity")), whole)
+        else:
+            add("voxelize_winding", on(name, lambda a: voxelize.voxelize(*moved(a), rule="winding")), whole)
+            add("voxelize_axes3", on(name, lambda a: voxelize.voxelize(*moved(a), axes=3)), whole)
+    add("diagnose", on("o40", lambda a: voxelize.diagnose(voxelize.triangles(*moved(a))).select("open", "odd")), "SELECT 0::BIGINT AS open, 0::BIGINT AS odd")
 
     # sequential by nature: no SQL; tests hold them against invariants
     add("thin", on("o40", skeleton.thin))
@@ -175,14 +187,78 @@ SELECT cx, cy, cz, round(sum(mx) / (2 * count(*)), 9) AS x, round(sum(my) / (2 *
     add("tube_gpu_buffer", on("o40", lambda a: skeleton.to_gpu_buffer(tube(a))))
 
 
-def _contact_sql() -> str:
-    own = distinct("c97")
+def corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """ax to cz of each face, in the order of its corners."""
+    out = faces.select("a", "b", "c")
+    for c in "abc":
+        out = out.join(vertices.select(F.col("vid").alias(c), *(F.col(x).alias(c + x) for x in "xyz")), c)
+    return out.select(*(F.col(c + x).cast("double").alias({"by": "by_"}.get(c + x, c + x)) for c in "abc" for x in "xyz"))
+
+
+def moved(a: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The culled mesh of a cloud, voxel i from i + 0.25 to i + 1.25 in units in which cells begin at whole numbers."""
+    vertices, faces = mesh.culled_faces(voxels(a))
+    return vertices.select("vid", *((F.col(c) - 0.25).alias(c) for c in "xyz")), faces
+
+
+#: The corners (s, t) of the two triangles of a quad, counter-clockwise seen from outside.
+TURNS = "turns(side, tri, corner, s, t) AS (VALUES " + ", ".join(f"({side}, {tri}, {k}, {ring[n][0]}, {ring[n][1]})" for side, ring in ((1, [(0, 0), (1, 0), (1, 1), (0, 1)]), (-1, [(0, 1), (1, 1), (1, 0), (0, 0)])) for tri, order in enumerate(((0, 1, 2), (0, 2, 3))) for k, n in enumerate(order)) + ")"
+
+
+def _place(base: list[str], plane: str, first: str, second: str) -> str:
+    """px, py, pz: base plus the offset along a face's axis and along its two others (the next axis first)."""
+    cases = (f"CASE axis WHEN 0 THEN {plane} WHEN 1 THEN {second} ELSE {first} END", f"CASE axis WHEN 0 THEN {first} WHEN 1 THEN {plane} ELSE {second} END", f"CASE axis WHEN 0 THEN {second} WHEN 1 THEN {first} ELSE {plane} END")
+    return ", ".join(f"{b} + {c} AS p{a}" for b, c, a in zip(base, cases, "xyz", strict=True))
+
+
+def _corners_sql(by: str) -> str:
+    """One row for each triangle from t(by, corner, px, py, pz)."""
+    pick = ", ".join(f"CAST(max(p{x}) FILTER (WHERE corner = {k}) AS DOUBLE) AS {c}{x}{'_' if c + x == 'by' else ''}" for k, c in enumerate("abc") for x in "xyz")
+    return f"SELECT {', '.join(c + x + ('_' if c + x == 'by' else '') for c in 'abc' for x in 'xyz')} FROM (SELECT {pick} FROM t GROUP BY {by})"
+
+
+def _rooted_sql(source: str, connectivity: int, name: str = "") -> str:
+    """CTEs v (x, y, z, id) and root (id, m: the least id of the component), by labels that go down along edges until none changes."""
+    v, e, r, root = (n + name for n in ("v", "e", "r", "root"))
+    return f"""WITH RECURSIVE {v} AS MATERIALIZED (SELECT x, y, z, row_number() OVER (ORDER BY x, y, z) - 1 AS id FROM ({source})),
+{e} AS MATERIALIZED (SELECT p.id AS a, n.id AS b FROM {v} p CROSS JOIN {values(OFFSETS[connectivity])} JOIN {v} n ON n.x = p.x + dx AND n.y = p.y + dy AND n.z = p.z + dz),
+{r}(id, m) USING KEY (id) AS (SELECT id, id FROM {v} UNION (SELECT {e}.b, min({r}.m) FROM {r} JOIN {e} ON {e}.a = {r}.id JOIN recurring.{r} AS o ON o.id = {e}.b GROUP BY {e}.b, o.m HAVING min({r}.m) < o.m)),
+{root} AS MATERIALIZED (SELECT id, m FROM {r})"""
+
+
+def _cavity_sql(own: str, depth: int) -> str:
+    """The background of the padded bounds by 6-components: those that stay inside, are nowhere `depth` steps from the voxels and are lined by one 26-component are filled."""
+    b = f"(SELECT min(x) - 1 AS x0, max(x) + 1 AS x1, min(y) - 1 AS y0, max(y) + 1 AS y1, min(z) - 1 AS z0, max(z) + 1 AS z1 FROM ({own}))"
+    cells = f"SELECT x, y, z FROM {b} b, LATERAL (SELECT unnest(range(x0, x1 + 1)) AS x), LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y), LATERAL (SELECT unnest(range(z0, z1 + 1)) AS z) EXCEPT {own}"
+    object_ = _rooted_sql(own, 26, "o")
+    void = _rooted_sql(cells, 6, "c").removeprefix("WITH RECURSIVE ")
+    return f"""{object_}, {void},
+edge AS (SELECT DISTINCT m FROM vc JOIN rootc USING (id), {b} b WHERE x IN (x0, x1) OR y IN (y0, y1) OR z IN (z0, z1)),
+inner_ AS MATERIALIZED (SELECT x, y, z, id, m FROM vc JOIN rootc USING (id) WHERE m NOT IN (SELECT m FROM edge)),
+lining AS (SELECT i.m, i.id, ro.m AS owner FROM inner_ i CROSS JOIN {values(FACES)} JOIN vo n ON n.x = i.x + dx AND n.y = i.y + dy AND n.z = i.z + dz JOIN rooto ro ON ro.id = n.id),
+near(id, d) USING KEY (id) AS (SELECT DISTINCT id, 0 FROM lining UNION (SELECT ec.b, near.d + 1 FROM near JOIN ec ON ec.a = near.id JOIN inner_ ON inner_.id = ec.b WHERE NOT EXISTS (SELECT 1 FROM recurring.near o WHERE o.id = ec.b) GROUP BY ALL)),
+good AS (SELECT m FROM lining GROUP BY m HAVING count(DISTINCT owner) = 1 EXCEPT SELECT m FROM near JOIN inner_ USING (id) WHERE d >= {depth})
+SELECT x, y, z FROM vo UNION ALL SELECT x, y, z FROM inner_ WHERE m IN (SELECT m FROM good)"""
+
+
+def _manifold_sql(rounds: int) -> str:
+    steps = [f"v0 AS MATERIALIZED ({distinct('c97')})"]
+    for k in range(rounds):
+        steps.append(f"v{k + 1} AS MATERIALIZED (SELECT x, y, z FROM v{k} UNION {_fixes_sql(f'v{k}')})")
+    return f"WITH {', '.join(steps)} SELECT x, y, z FROM v{rounds}"
+
+
+def _fixes_sql(v: str) -> str:
     parts = []
     for far, first, between in morph.CONTACTS:
-        there = lambda o: f"SELECT 1 FROM v n WHERE n.x = v.x + {o[0]} AND n.y = v.y + {o[1]} AND n.z = v.z + {o[2]}"
+        there = lambda o: f"SELECT 1 FROM {v} n WHERE n.x = v.x + {o[0]} AND n.y = v.y + {o[1]} AND n.z = v.z + {o[2]}"
         tests = [f"EXISTS ({there(far)})", *(f"NOT EXISTS ({there(b)})" for b in between)]
-        parts.append(f"SELECT x + {first[0]} AS x, y + {first[1]} AS y, z + {first[2]} AS z FROM v WHERE {' AND '.join(tests)}")
-    return f"WITH v AS ({own}) " + " UNION ".join(parts)
+        parts.append(f"SELECT x + {first[0]} AS x, y + {first[1]} AS y, z + {first[2]} AS z FROM {v} v WHERE {' AND '.join(tests)}")
+    return " UNION ".join(parts)
+
+
+def _contact_sql() -> str:
+    return f"WITH w AS ({distinct('c97')}) {_fixes_sql('w')}"
 
 
 def _distance_sql(name: str, s: tuple[int, int, int]) -> str:
