@@ -190,6 +190,22 @@ def test_roots_are_least_rows():
             for a, b in pairs:
                 want[a] = want[b] = min(want[a], want[b])
         assert (lattice.roots(n, pairs) == want).all()
+    for seed in range(200):
+        r = np.random.default_rng(seed)
+        pairs = r.integers(0, 400, (int(r.integers(1, 500)), 2))
+        up = list(range(400))
+        for a, b in pairs.tolist():
+            while up[a] != a:
+                a = up[a]
+            while up[b] != b:
+                b = up[b]
+            up[max(a, b)] = min(a, b)
+        want = []
+        for x in range(400):
+            while up[x] != x:
+                x = up[x]
+            want.append(x)
+        assert lattice.roots(400, pairs).tolist() == want
 
 
 def test_long_sides_of_triangles():

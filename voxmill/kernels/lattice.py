@@ -155,14 +155,12 @@ def roots(n: int, pairs: np.ndarray) -> np.ndarray:
     label = np.arange(n)
     a, b = pairs[:, 0], pairs[:, 1]
     while len(a):
-        low = np.minimum(label[a], label[b])
+        p, q = label[a], label[b]
         new = label.copy()
-        for end in (a, b, label[a], label[b]):
-            np.minimum.at(new, end, low)
+        # roots alone are hooked, so that rows of one label stay together
+        np.minimum.at(new, np.maximum(p, q), np.minimum(p, q))
         while (new[new] != new).any():
             new = new[new]
-        if (new == label).all():
-            break
         label = new
         apart = label[a] != label[b]
         a, b = a[apart], b[apart]

@@ -71,3 +71,29 @@ def neighbor_offsets(connectivity: int) -> list[tuple[int, int, int]]:
 def floor_div(column: str, k: int) -> Column:
     """Division that rounds down, also for negative numbers."""
     return F.expr(f"({column} - pmod({column}, {k}L)) div {k}L")
+
+
+def _bits(bits) -> tuple[int, int, int]:
+    b = as_integers(bits, "bits")
+    if sum(b) > 63:
+        raise ValueError(f"bits have to be 63 in sum at most, not {bits}")
+    return b
+
+
+def pack(df: DataFrame, bits=21) -> DataFrame:
+    """df with packed: x, y and z as one bigint, in bits (one number or three) from the highest; of the coordinates' order if none is negative.
+
+    A coordinate outside 0 to 2^bits - 1 of its axis packs to null.
+    """
+    b = _bits(bits)
+    df = validate(df)
+    fits = [F.col(a).between(0, (1 << n) - 1) for a, n in zip(AXES, b, strict=True)]
+    key = F.shiftleft(F.col("x"), b[1] + b[2]).bitwiseOR(F.shiftleft(F.col("y"), b[2])).bitwiseOR(F.col("z"))
+    return df.withColumn("packed", F.when(fits[0] & fits[1] & fits[2], key))
+
+
+def unpack(df: DataFrame, bits=21) -> DataFrame:
+    """df with x, y and z from packed, as pack makes it."""
+    b = _bits(bits)
+    part = lambda shift, n: F.shiftrightunsigned(F.col("packed"), shift).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+    return df.withColumns({"x": part(b[1] + b[2], b[0]), "y": part(b[2], b[1]), "z": part(0, b[2])})

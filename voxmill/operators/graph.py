@@ -5,16 +5,21 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxmill.functions.ids import dense_id
+from voxmill.kernels.lattice import roots
 from voxmill.operators.frame import AXES, keys, neighbor_offsets, validate, voxels
 from voxmill.operators.pool import coarse
 from voxmill.operators.stencil import scatter
-from voxmill.sources.scratch import materialise
+from voxmill.sources.scratch import materialise, release
+
+#: Pairs that a task contracts at once; this bounds its memory and changes no result.
+BLOCK = 4_000_000
 
 
 def _key(df: DataFrame, prefix: str = ""):
@@ -39,13 +44,21 @@ def nodes(df: DataFrame) -> DataFrame:
 
 
 def edges(df: DataFrame, connectivity: int = 26) -> tuple[DataFrame, DataFrame]:
-    """nodes (node_id, coordinates) and edges (src < dst)."""
-    n = nodes(df)
-    ids = n.select(_key(n).alias("k"), "node_id")
-    found = adjacent(n, connectivity)
-    src = found.join(ids.select(F.col("k").alias("a"), F.col("node_id").alias("src")), "a")
-    both = src.join(ids.select(F.col("k").alias("b"), F.col("node_id").alias("dst")), "b")
-    return n, both.select("src", "dst")
+    """nodes (node_id, coordinates) and edges (src < dst).
+
+    Each node sends its id to the neighbours that are higher up; one join on the coordinates (packed into a bigint where they fit) then finds
+    the ids there.
+    """
+    n = materialise(nodes(df), "nodes")
+    up = [o for o in neighbor_offsets(connectivity) if o > (0, 0, 0)]
+    steps = F.array(*[F.struct(*(F.lit(d).cast("long").alias("d" + a) for a, d in zip(AXES, o, strict=True))) for o in up])
+    sent = n.select(F.col("node_id").alias("src"), *keys(n), F.inline(steps))
+    there = sent.select("src", *(F.col(c) + F.col("d" + c) if c in AXES else F.col(c) for c in keys(n)))
+    there = there.toDF("src", *keys(n))
+    packed = packer(n, margin=1)
+    key = (lambda d: packed[0](_key(d))) if packed else _key
+    found = there.select("src", key(there).alias("k")).join(n.select(key(n).alias("k"), F.col("node_id").alias("dst")), "k")
+    return n, found.select("src", "dst")
 
 
 def downsample_graph(df: DataFrame, factor) -> tuple[DataFrame, DataFrame]:
@@ -64,22 +77,25 @@ def downsample_graph(df: DataFrame, factor) -> tuple[DataFrame, DataFrame]:
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of longs of one partition as a star of each tree: (node, least node of its tree in the partition)."""
-    up: dict[int, int] = {}
+    """Pairs (a, b) of longs of one partition as stars: (node, least node of its tree), at most BLOCK pairs at a time."""
+    held: list[np.ndarray] = []
+    size = 0
 
-    def root(x: int) -> int:
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = up[y]
-            x = y
-        return x
+    def stars():
+        both = np.concatenate(held, axis=1)
+        nodes, place = np.unique(both, return_inverse=True)
+        root = roots(len(nodes), place.reshape(2, -1).T)
+        apart = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[apart]), pa.array(nodes[root[apart]])], names=["a", "b"])
 
     for batch in batches:
-        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            p, q = root(x), root(y)
-            if p != q:
-                up[max(p, q)] = min(p, q)
-    found = [(x, r) for x in list(up) if (r := root(x)) != x]
-    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        held.append(np.stack([np.asarray(batch.column(c)) for c in ("a", "b")]))
+        size += batch.num_rows
+        if size >= BLOCK:
+            yield stars()
+            held, size = [], 0
+    if size:
+        yield stars()
 
 
 def star_components(pairs: DataFrame) -> DataFrame:
@@ -102,21 +118,30 @@ def star_components(pairs: DataFrame) -> DataFrame:
         large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = star(large)
         small = down.select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = materialise(small.select(F.col("u").alias("a"), F.col("v").alias("b")), "pairs")
+        last, now = now, materialise(small.select(F.col("u").alias("a"), F.col("v").alias("b")), "pairs")
+        release(last)
         was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if was == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def packer(df: DataFrame):
-    """Functions from a struct of coordinates to one bigint in the same order and back; None for objects or extents of 2^21 cells."""
+def packer(df: DataFrame, margin: int = 0):
+    """Functions from a struct of coordinates (or its column's name) to one bigint in the same order and back; None for objects or extents of 2^21 cells.
+
+    Coordinates up to `margin` outside the bounds of df fit as well.
+    """
     if len(keys(df)) > 3:
         return None
     b = df.agg(*(f(a).alias(n + a) for n, f in (("lo", F.min), ("hi", F.max)) for a in AXES)).first()
-    if b["lox"] is None or any(b["hi" + a] - b["lo" + a] >= 2**21 for a in AXES):
+    if b["lox"] is None or any(b["hi" + a] - b["lo" + a] + 2 * margin >= 2**21 for a in AXES):
         return None
-    to = lambda c: F.expr(f"shiftleft({c}.x - {b['lox']}L, 42) | shiftleft({c}.y - {b['loy']}L, 21) | ({c}.z - {b['loz']}L)")
-    back = lambda c: F.expr(f"named_struct('x', shiftright({c}, 42) + {b['lox']}L, 'y', (shiftright({c}, 21) & 2097151) + {b['loy']}L, 'z', ({c} & 2097151) + {b['loz']}L)")
+    low = {a: b["lo" + a] - margin for a in AXES}
+
+    def to(c):
+        part = lambda a: (F.col(f"{c}.{a}") if isinstance(c, str) else c[a]) - F.lit(low[a]).cast("long")
+        return F.shiftleft(part("x"), 42).bitwiseOR(F.shiftleft(part("y"), 21)).bitwiseOR(part("z"))
+
+    back = lambda c: F.expr(f"named_struct('x', shiftright({c}, 42) + {low['x']}L, 'y', (shiftright({c}, 21) & 2097151) + {low['y']}L, 'z', ({c} & 2097151) + {low['z']}L)")
     return to, back
 
 
@@ -184,10 +209,13 @@ def fill_cavities(df: DataFrame, mode: str = "exact", max_depth: int | None = 8,
         r = bounds.agg(*(F.max(F.col("hi" + a) - F.col("lo" + a) + 1) for a in AXES)).first()
         max_depth = min(r) // 2 + 1
     front = materialise(boundary_shell(own).withColumn("depth", F.lit(0)), "front")
-    band = front
+    band, before = front, None
     for d in range(1, max_depth + 1):
         grown = scatter(front.drop("depth"), FACES).select(*keys(own)).distinct()
-        front = materialise(grown.join(own, keys(own), "left_anti").join(band, keys(own), "left_anti").withColumn("depth", F.lit(d)), "front")
+        # a layer's neighbours are voxels, of the layer itself, of the one before it, or new
+        old = own.unionByName(front.drop("depth"))
+        old = old if before is None else old.unionByName(before.drop("depth"))
+        before, front = front, materialise(grown.join(old, keys(own), "left_anti").withColumn("depth", F.lit(d)), "front")
         if front.isEmpty():
             break
         band = band.unionByName(front)

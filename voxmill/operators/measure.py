@@ -58,7 +58,3 @@ def iou(a: DataFrame, b: DataFrame) -> DataFrame:
 def dice(a: DataFrame, b: DataFrame) -> DataFrame:
     total = 2 * F.col("both") + F.col("only_a") + F.col("only_b")
     return _overlap(a, b).select(*_by(a), F.when(total == 0, 1.0).otherwise(2 * F.col("both") / F.nullif(total, F.lit(0))).alias("dice"))
-
-
-def voxel_keys(df: DataFrame) -> list[str]:
-    return keys(df)

@@ -61,9 +61,3 @@ def index_of(df: DataFrame, other: DataFrame) -> DataFrame:
     df, other = validate(df), validate(other)
     found = other.groupBy(*keys(df)).agg(F.min("row_id").alias("index"))
     return df.join(found, keys(df), "left").withColumn("index", F.coalesce("index", F.lit(-1).cast("long")))
-
-
-def rank_rows(df: DataFrame) -> DataFrame:
-    """df with the position of its voxel among the sorted distinct ones of its object; for the small tables of one object."""
-    order = Window.partitionBy(*(["object_id"] if "object_id" in df.columns else [])).orderBy("x", "y", "z")
-    return df.withColumn("rank", F.dense_rank().over(order) - 1)

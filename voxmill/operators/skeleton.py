@@ -6,17 +6,18 @@ is dense, in the order of the components' least voxels and then of the nodes. Fu
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.functions.ids import dense_id
 from voxmill.kernels import lattice, skeletons, thinning, tubes
 from voxmill.operators import graph
-from voxmill.operators.frame import AXES, as_integers, as_spacing, keys
+from voxmill.operators.frame import AXES, as_integers, as_spacing, keys, voxels
 from voxmill.sources.scratch import materialise
 
 ROWS = "kind int, i long, j long, x double, y double, z double, radius double, n_voxels long"
@@ -242,12 +243,38 @@ def tube_profile(df: DataFrame, nodes: DataFrame, edges: DataFrame, spacing=None
     return nodes.join(found, "node_id")
 
 
-def radius_at(profile: DataFrame, theta: list[float], k: int | None = None) -> DataFrame:
-    """node_id, theta and r: the series at each angle, cut to k harmonics."""
+def radius_at(profile: DataFrame, theta: list[float], k: int | None = None, derivative: int = 0) -> DataFrame:
+    """node_id, theta and r: the series at each angle, cut to k harmonics; with derivative 1 or 2 its derivative by the angle."""
+    if derivative not in (0, 1, 2):
+        raise ValueError(f"derivative has to be 0, 1 or 2, not {derivative}")
     at = profile.select("node_id", "a0", "mag", "phase", F.explode(F.array(*[F.lit(float(t)) for t in theta])).alias("theta"))
     mag = F.col("mag") if k is None else F.slice("mag", 1, k) if k else F.array().cast("array<float>")
-    terms = F.transform(mag, lambda m, i: m.cast("double") * F.cos((i + 1) * F.col("theta") - F.col("phase")[i].cast("double")))
-    return at.select("node_id", "theta", (F.col("a0").cast("double") + F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)).alias("r"))
+
+    def term(m, i):
+        n, turn = (i + 1).cast("double"), (i + 1) * F.col("theta") - F.col("phase")[i].cast("double")
+        return m.cast("double") * (F.cos(turn), -n * F.sin(turn), -n * n * F.cos(turn))[derivative]
+
+    mean = F.col("a0").cast("double") if derivative == 0 else F.lit(0.0)
+    return at.select("node_id", "theta", (mean + F.aggregate(F.transform(mag, term), F.lit(0.0), lambda a, b: a + b)).alias("r"))
+
+
+def coefficients(profile: DataFrame) -> DataFrame:
+    """node_id, a0 and, for each harmonic, the weights of its cosine and its sine."""
+    part = lambda f: F.transform("mag", lambda m, i: m * f(F.col("phase")[i]))
+    return profile.select("node_id", "a0", part(F.cos).cast("array<float>").alias("cosine"), part(F.sin).cast("array<float>").alias("sine"))
+
+
+def normals(profile: DataFrame, n_theta: int = 64, k: int | None = None) -> DataFrame:
+    """node_id, theta, nx, ny, nz: unit normals of the surface that point outward, across the tube (its slope along the axis is left out).
+
+    A point r(a) e(a) of the cross section moves by r' e + r e' with its angle a; at right angles to that is r e - r' e'.
+    """
+    theta = [2 * np.pi * i / n_theta for i in range(n_theta)]
+    both = radius_at(profile, theta, k).join(radius_at(profile, theta, k, 1).withColumnRenamed("r", "slope"), ["node_id", "theta"]).join(frame_vectors(profile), "node_id")
+    out = [F.cos("theta") * F.col("u")[i] + F.sin("theta") * F.col("v")[i] for i in range(3)]
+    round_ = [F.cos("theta") * F.col("v")[i] - F.sin("theta") * F.col("u")[i] for i in range(3)]
+    size = F.sqrt(F.col("r") * F.col("r") + F.col("slope") * F.col("slope"))
+    return both.select("node_id", "theta", *(F.when(size > 0, (F.col("r") * e - F.col("slope") * d) / size).otherwise(e).alias("n" + a) for a, e, d in zip(AXES, out, round_, strict=True)))
 
 
 def frame_vectors(profile: DataFrame) -> DataFrame:
@@ -289,6 +316,57 @@ def save_profile(profile: DataFrame, path: str) -> None:
     profile.write.mode("overwrite").parquet(path)
 
 
+def load_profile(spark: SparkSession, path: str) -> DataFrame:
+    """What save_profile wrote; ValueError if a column of a profile is missing."""
+    out = spark.read.parquet(path)
+    missing = {"node_id", *AXES, *(c.split()[0] for c in TUBE.split(", "))} - set(out.columns)
+    if missing:
+        raise ValueError(f"not a profile: {', '.join(sorted(missing))} missing")
+    return out
+
+
+def node_volumes(nodes: DataFrame, spacing=None) -> DataFrame:
+    """node_id and volume: that of the voxels which the node stands for."""
+    return nodes.select("node_id", (F.col("n_voxels") * float(np.prod(as_spacing(spacing)))).alias("volume"))
+
+
+def nearest_radii(nodes: DataFrame, df: DataFrame, spacing=None) -> DataFrame:
+    """node_id and radius: from each node (any real place) to the nearest cell outside df; 0 for a node whose own cell is outside.
+
+    That cell lies within a cell's diagonal of the ball that the node's own cell has to the background, so only the boundary's cells in
+    cubes of that size around the node are met, by an equi-join. Runs jobs.
+    """
+    from voxmill.operators.distance import distance_transform
+    from voxmill.operators.stencil import boundary_shell
+
+    s = as_spacing(spacing)
+    own = voxels(df)
+    far = distance_transform(own, spacing).select(*(F.col(a).alias("c" + a) for a in AXES), "distance")
+    at = nodes.select("node_id", *AXES, *(F.rint(a).cast("long").alias("c" + a) for a in AXES)).join(far, ["c" + a for a in AXES], "left")
+    at = materialise(at.withColumn("reach", F.col("distance") + float(np.sqrt(sum(v * v for v in s)))), "reach")
+    # cubes grow by powers of two with the reach: at most 27 for each node, whatever its radius
+    at = at.withColumn("level", F.greatest(F.ceil(F.log2(F.col("reach") / min(s))), F.lit(0)))
+    cube = lambda a, v, d=0: F.floor(F.col(a) * v / (F.pow(F.lit(2.0), F.col("level")) * min(s))) + d
+    levels = F.broadcast(at.select("level").distinct().where("level IS NOT NULL"))  # one row for each power of two
+    shell = boundary_shell(own).crossJoin(levels)
+    shell = shell.select("level", *(cube(a, v).alias("q" + a) for a, v in zip(AXES, s, strict=True)), *(F.col(a).alias("s" + a) for a in AXES))
+    steps = F.array(*[F.struct(*(F.lit(d).alias("d" + a) for a, d in zip(AXES, o, strict=True))) for o in itertools.product((-1, 0, 1), repeat=3)])
+    around = at.where("level IS NOT NULL").select("*", F.inline(steps)).select("node_id", *AXES, "level", *((cube(a, v) + F.col("d" + a)).alias("q" + a) for a, v in zip(AXES, s, strict=True)))
+    square = sum((F.col("s" + a) - F.col(a)) * (F.col("s" + a) - F.col(a)) * v * v for a, v in zip(AXES, s, strict=True))
+    found = around.join(shell, ["level", *("q" + a for a in AXES)]).groupBy("node_id").agg(F.sqrt(F.min(square)).alias("radius"))
+    return nodes.select("node_id").join(found, "node_id", "left").withColumn("radius", F.coalesce("radius", F.lit(0.0)))
+
+
+def to_networkx(nodes: DataFrame, edges: DataFrame):
+    """A networkx graph of a skeleton that fits on the driver, with pos and radius of each node; ImportError without networkx."""
+    import networkx
+
+    graph = networkx.Graph()
+    graph.add_nodes_from((r.node_id, {"pos": (r.x, r.y, r.z), "radius": r.radius}) for r in nodes.select("node_id", *AXES, "radius").collect())
+    graph.add_edges_from((r.src, r.dst) for r in edges.select("src", "dst").collect())
+    return graph
+
+
 def to_skeleton(profile: DataFrame) -> DataFrame:
     """Nodes whose radius is a0."""
     return profile.select("node_id", *[c for c in _group(profile)], *AXES, F.col("a0").cast("double").alias("radius"), "n_voxels")

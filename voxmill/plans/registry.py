@@ -7,8 +7,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.operators import distance, filters, graph, measure, mesh, morph, pool, sets, skeleton, stencil, voxelize
-from voxmill.operators.frame import voxels
+from voxmill.operators import distance, filters, graph, measure, mesh, morph, pool, sets, skeleton, sparse, stencil, voxelize
+from voxmill.operators.frame import pack, unpack, voxels
 from voxmill.sources.clouds import cloud, sql
 
 FACES = stencil.FACES
@@ -74,7 +74,15 @@ def _register() -> None:
     add("majority", on("c40", sets.majority, "o40", "c97"), f"SELECT x, y, z FROM ({A} UNION ALL {B} UNION ALL {distinct('c97')}) GROUP BY ALL HAVING count(*) >= 2")
     add("isin", on("c40", lambda a, b: sets.isin(a.select("row_id", "x", "y", "z"), b), "o40"), f"SELECT row_id, x, y, z, EXISTS (SELECT 1 FROM ({B}) b WHERE b.x = a.x AND b.y = a.y AND b.z = a.z) AS is_in FROM ({sql('c40')}) a")
     add("index_of", on("c40", lambda a, b: sets.index_of(a.select("x", "y", "z"), b), "o40"), f'SELECT a.x, a.y, a.z, coalesce(i, -1) AS "index" FROM ({sql("c40")}) a LEFT JOIN (SELECT x, y, z, min(row_id) AS i FROM ({sql("o40")}) GROUP BY x, y, z) b USING (x, y, z)')
-    add("pack", on("c40", lambda a: voxels(a).selectExpr("x", "y", "z", "shiftleft(x + 1048576, 42) | shiftleft(y + 1048576, 21) | (z + 1048576) AS packed")), f"SELECT x, y, z, ((x + 1048576) << 42) | ((y + 1048576) << 21) | (z + 1048576) AS packed FROM ({A})")
+    up = lambda a: voxels(a).selectExpr(*(f"{c} + 1048576 AS {c}" for c in "xyz"))
+    packed = f"SELECT x + 1048576 AS x, y + 1048576 AS y, z + 1048576 AS z, ((x + 1048576) << 42) | ((y + 1048576) << 21) | (z + 1048576) AS packed FROM ({A})"
+    add("pack", on("c40", lambda a: pack(up(a))), packed)
+    add("unpack", on("c40", lambda a: unpack(pack(up(a)).select("packed"))), packed)
+    array = lambda a: sparse.SparseArray(a.selectExpr("x + 20 AS x", "y + 20 AS y", "z + 20 AS z", "value % 3 AS value"), (40, 40, 40))
+    stored = f"SELECT DISTINCT x + 20 AS x, y + 20 AS y, z + 20 AS z FROM ({sql('c40')}) WHERE value % 3 <> 0"
+    add("sparse_voxels", on("c40", lambda a: sparse.to_voxels(array(a)).distinct()), stored)
+    closing = sparse.sparse_aware(mirror=True)(morph.closing)
+    add("sparse_closing", on("c40", lambda a: closing(array(a)).cells), f"SELECT x, y, z, 1::BIGINT AS value FROM ({eroded(dilated(stored, 6), 6)})")
     # morphology
     for c in (6, 18, 26):
         add(f"dilate{c}", on("c97", partial(morph.dilate, connectivity=c)), dilated(distinct("c97"), c))
@@ -184,6 +192,10 @@ SELECT cx, cy, cz, round(sum(mx) / (2 * count(*)), 9) AS x, round(sum(my) / (2 *
     tube = lambda a: skeleton.tube_coefficients(a, "wavefront")[0]
     add("tube_coefficients", on("o40", tube))
     add("tube_evaluate", on("o40", lambda a: skeleton.evaluate(tube(a))))
+    add("tube_normals", on("o40", lambda a: skeleton.normals(tube(a))))
+    add("tube_series", on("o40", lambda a: skeleton.coefficients(tube(a))))
+    add("node_volumes", on("o40", lambda a: skeleton.node_volumes(skeleton.wavefront_skeletonize(a)[0], (4, 4, 40))))
+    add("nearest_radii", on("o40", lambda a: skeleton.nearest_radii(skeleton.wavefront_skeletonize(a)[0], a)))
     add("tube_gpu_buffer", on("o40", lambda a: skeleton.to_gpu_buffer(tube(a))))
 
 

@@ -25,4 +25,19 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     """df written once and read back: later steps neither repeat its plan nor lose it with an executor."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table behind a result of materialise; only for one that nothing will read again."""
+    path = getattr(df, "_scratch", None)
+    if path is not None:
+        delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark can write to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
