@@ -30,7 +30,7 @@ def test_entry_without_llm(monkeypatch):
     monkeypatch.delitem(sys.modules, "__spark_entry__")
 
 
-QUICK = ["union", "intersection", "isin", "index_of", "dilate6", "erode6", "mask26", "contact_fixes", "surface_area", "downsample_sum", "correlate_dense", "maximum", "squared_distance", "edges26", "greedy_rectangles", "surface_net_vertices"]
+QUICK = ["union", "intersection", "isin", "index_of", "dilate6", "erode6", "mask26", "contact_fixes", "surface_area", "downsample_sum", "correlate_dense", "maximum", "squared_distance", "edges26", "greedy_rectangles", "surface_net_vertices", "unpack", "sparse_voxels", "sparse_closing", "distance_transform", "components26", "culled_triangles", "greedy_triangles", "surface_net_triangles", "voxelize_surface", "voxelize_winding"]
 
 
 @pytest.mark.parametrize("name", QUICK)

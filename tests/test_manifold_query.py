@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_query_leaves_no_contact(spark):
-    out = registry.queries()["make_manifold"](spark, SF)
+    out = registry.queries()["make_manifold_whole"](spark, SF)
     now = set(got(voxels(cloud(spark, SF, "c97"))))
     while fixes := contacts(now):
         now |= fixes

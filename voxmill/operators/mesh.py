@@ -123,19 +123,22 @@ def surface_net_quads(df: DataFrame) -> DataFrame:
     return faces.select(*by, "axis", "side", mid.alias("mid"), _by_case(ring).alias("ring"))
 
 
-def surface_net_vertices(df: DataFrame) -> DataFrame:
-    """One vertex for each dual cell: the mean of the midpoints of the crossings around it."""
-    quads = surface_net_quads(df)
+def _net_vertices(quads: DataFrame) -> DataFrame:
     by = [c for c in quads.columns if c == "object_id"]
     cells = quads.select(*by, F.explode("ring").alias("v"), "mid")
     return cells.groupBy(*by, "v").agg(*((F.sum(F.col("mid")[k]) / (2 * F.count("*"))).alias(c) for k, c in enumerate(AXES)))
 
 
+def surface_net_vertices(df: DataFrame) -> DataFrame:
+    """One vertex for each dual cell: the mean of the midpoints of the crossings around it."""
+    return _net_vertices(surface_net_quads(df))
+
+
 def surface_nets(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    own = materialise(voxels(df), "voxels")
-    cells, faces = _corner_mesh(surface_net_quads(own).drop("mid"))
+    quads = materialise(surface_net_quads(df), "net")  # the exposed faces are found once for vertices and faces
+    cells, faces = _corner_mesh(quads.drop("mid"))
     by = [c for c in cells.columns if c == "object_id"]
-    placed = surface_net_vertices(own).select(*by, *(F.col(f"v.{c}").alias("c" + c) for c in AXES), *AXES)
+    placed = _net_vertices(quads).select(*by, *(F.col(f"v.{c}").alias("c" + c) for c in AXES), *AXES)
     ids = cells.select(*by, "vid", *(F.col(c).alias("c" + c) for c in AXES))
     return ids.join(placed, [*by, "cx", "cy", "cz"]).select(*by, "vid", *AXES), faces
 
