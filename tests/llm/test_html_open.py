@@ -13,6 +13,9 @@ from voxmill.llm.htmlmain import blocks_of
         ("<p>one</p><noscript><p>two</p>", ["one", "two"]),
         ("<head><title>t</title><meta charset='u'><p>one</p><p>two</p>", ["one", "two"]),
         ("<head><title>t</title></head><body><p>one</p></body>", ["one"]),
+        ("<p>Energy is <math><mi>E</mi><annotation>TeX</annotation></math> known</p><object data='a'>shown instead</object>", ["Energy is E known", "shown instead"]),
+        ("<p>one</p><xmp>a &amp; <b> c</xmp><p>two</p>", ["one", "a &amp; <b> c", "two"]),
+        ("<div>" * 3000 + "deep" + "</div>" * 3000, ["deep"]),
         ("<p>one</p><script>var a; <p>two</p>", ["one"]),
     ],
 )

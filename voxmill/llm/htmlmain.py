@@ -33,7 +33,7 @@ ATTRIBUTE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']
 NAME = re.compile(r"[a-z]+")
 
 #: Classes of tags in HTML.
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "select", "object", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "annotation", "annotation-xml", "select", "xmp", "noembed", "noframes"}
 #: Of these, those whose text is raw also without an end tag, and foreign content, where a tag ending in "/" is empty.
 TO_END = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
 FOREIGN = {"svg", "math"}
@@ -114,6 +114,10 @@ def blocks_of(page: str) -> list[Block]:
             if end is None and name not in TO_END:  # never closed: its text is text
                 unclosed.add(name)
                 continue
+            if name == "xmp" and hidden is None:  # its text is shown as it stands
+                flush()
+                parts.append(page[pos : len(page) if end is None else end.start()])
+                flush()
             stop = len(page) if end is None else page.find(">", end.end())
             at = pos = len(page) if stop < 0 or end is None else stop + 1
             continue
