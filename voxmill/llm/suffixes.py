@@ -17,7 +17,7 @@ that. Runs travel as compressed blocks, one for each bucket and flush; a bucket
 document, and the documents themselves are shuffled once, each compressed, and streamed past them.
 
 Defined results: a null or empty text, and any of fewer than `length` bytes, loses nothing. Rows with one doc_id are one
-document: they don't cover each other. A null doc_id ranks before all others. An empty table gives an empty table.
+document: they don't cover each other, and a 32-bit hash of their texts tells them apart. A null doc_id ranks before all others. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -261,7 +261,7 @@ def pack_block(doc: np.ndarray, ids: np.ndarray, tags: np.ndarray, arrays: list[
     used, own = np.unique(doc, return_inverse=True)
     head = struct.pack("<II", len(used), len(doc))
     parts = [np.diff(ids[used], prepend=np.int64(0)), tags[used], np.diff(own, prepend=0).astype("<u4"), *arrays]
-    return zstandard.ZstdCompressor(level=6).compress(head + b"".join(x.tobytes() for x in parts))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(x.tobytes() for x in parts))
 
 
 def unpack_block(block: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
@@ -269,7 +269,7 @@ def unpack_block(block: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(block)
     docs, n = struct.unpack_from("<II", raw)
     at, out = 8, []
-    for kind, count in (("<i8", docs), ("<u8", docs), ("<u4", n), *((k, n) for k in kinds)):
+    for kind, count in (("<i8", docs), ("<u4", docs), ("<u4", n), *((k, n) for k in kinds)):
         out.append(np.frombuffer(raw, kind, count, at))
         at += out[-1].nbytes
     ids, own = np.cumsum(out[0]), np.cumsum(out[2], dtype=np.int64)
@@ -284,7 +284,7 @@ class Intervals:
 
     def add(self, ids, tags, start, stop) -> None:
         if len(ids):
-            self.held.append((ids.astype(np.int64), tags.astype("<u8"), start.astype("<u4"), stop.astype("<u4")))
+            self.held.append((ids.astype(np.int64), tags.astype("<u4"), start.astype("<u4"), stop.astype("<u4")))
             self.count += len(ids)
 
     def flush(self) -> list[tuple[int, bytes]]:
@@ -326,7 +326,7 @@ def remove_repeats(df: DataFrame, length: int = 50, buckets: int | None = None,
         def flush():
             nonlocal held, size, known
             doc, start, width, off, gram, da, db, text = (np.concatenate(x) for x in zip(*held, strict=True))
-            ids, tags = np.array([k[0] for k in known], np.int64), np.array([k[1] for k in known], "<u8")
+            ids, tags = np.array([k[0] for k in known], np.int64), np.array([k[1] for k in known], "<u4")
             rank = np.argsort(ids, kind="stable")
             back = np.empty(len(rank), np.int64)
             back[rank] = np.arange(len(rank))
@@ -359,7 +359,7 @@ def remove_repeats(df: DataFrame, length: int = 50, buckets: int | None = None,
                 raw, offsets = string_bytes(piece.column("text"))
                 ids = np.asarray(piece.column("id"))
                 base = len(known)
-                known += [(int(i), xxhash.xxh64_intdigest(raw[a:b])) for i, a, b in zip(ids, offsets[:-1], offsets[1:], strict=True)]
+                known += [(int(i), xxhash.xxh32_intdigest(raw[a:b])) for i, a, b in zip(ids, offsets[:-1], offsets[1:], strict=True)]
                 for lo, seg, segoff in segments(raw, offsets, length):
                     doc, first, last, anchor = runs(seg, segoff, length)
                     if not len(doc):
@@ -373,7 +373,7 @@ def remove_repeats(df: DataFrame, length: int = 50, buckets: int | None = None,
                     if size > flush_bytes:
                         yield from rows(flush())
                         base = 0
-                        known = [(int(i), xxhash.xxh64_intdigest(raw[a:b])) for i, a, b in zip(ids, offsets[:-1], offsets[1:], strict=True)]
+                        known = [(int(i), xxhash.xxh32_intdigest(raw[a:b])) for i, a, b in zip(ids, offsets[:-1], offsets[1:], strict=True)]
         if held:
             yield from rows(flush())
 
@@ -412,7 +412,7 @@ def remove_repeats(df: DataFrame, length: int = 50, buckets: int | None = None,
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch, "text", 8 << 20):
-                ids, press = np.asarray(piece.column("id")), zstandard.ZstdCompressor(level=4)
+                ids, press = np.asarray(piece.column("id")), zstandard.ZstdCompressor(level=1)
                 texts = pa.array([press.compress(t.as_py()) for t in piece.column("text").cast(pa.binary())], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(part_of(ids, parts)), piece.column("id"), texts], names=["part", "id", "data"])
 
@@ -433,7 +433,7 @@ def remove_repeats(df: DataFrame, length: int = 50, buckets: int | None = None,
                     if blocks:
                         of, blocks = merged(blocks), []
                     data = open_.decompress(data)
-                    spans = of.get((i, xxhash.xxh64_intdigest(data)))
+                    spans = of.get((i, xxhash.xxh32_intdigest(data)))
                     kept, at = [], 0
                     for a, b in spans if spans is not None else ():
                         kept.append(data[at:a])
