@@ -1,10 +1,11 @@
 import random
 
 import pytest
+import xxhash
 
 import corpus_pipeline
 from tests.llm.test_duplicates import near_texts
-from voxmill.llm import nearcopies
+from voxmill.llm import nearcopies, simhash
 
 
 def brute(rows):
@@ -71,3 +72,37 @@ def test_repeated_and_null_ids(spark, make):
     want = sorted((min(g, key=rank) for g in brute(rows)), key=str)
     got = sorted(((x.doc_id, x.text) for x in nearcopies.keep_first(make(twice)).collect()), key=str)
     assert got == want and len(want) == 5
+
+
+def test_fingerprints_propose_the_pairs(spark, make, monkeypatch):
+    """Every pair at 0.8 or more shares a cluster of wide SimHash fingerprints, in many tables too; without them no near copy is linked."""
+    r = random.Random(11)
+    base = [[f"u{r.randrange(10**6)}" for _ in range(r.choice((12, 60, 300)))] for _ in range(60)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        for _ in range(4):
+            w = list(b)
+            for _ in range(r.randrange(1, 1 + len(w) // 50 + 1)):
+                w[r.randrange(len(w))] = f"u{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    sets = [nearcopies.grams(t) for t in texts]
+    nodes, sizes, fps = nearcopies.fingerprints(texts)
+    for own, fp in zip(sets, fps, strict=True):  # the first word, by its definition
+        hashes = [xxhash.xxh64_intdigest(g, simhash.SEED) for g in own]
+        want = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+        assert int.from_bytes(fp[:8], "little") == want
+    df = spark.createDataFrame(sorted(set(zip(nodes, sizes, fps, strict=True))), "node long, size long, fp binary")
+    near = [(nodes[a], nodes[b]) for a in range(len(texts)) for b in range(a) if nodes[a] != nodes[b] and nearcopies.similarity(sets[a], sets[b]) >= nearcopies.LEAST]
+    assert len(near) > 100
+    for group in (2048, 16):
+        own = {}
+        for x in simhash.near_groups(df, nearcopies.LEAST, group).collect():
+            own.setdefault(x.node, set()).add(x.key)
+        assert all(own.get(a, set()) & own.get(b, set()) for a, b in near)
+
+    rows = list(enumerate(texts))
+    want = sorted(min(g, key=rank)[0] for g in brute(rows))
+    stage = lambda: sorted(x.doc_id for x in corpus_pipeline.without_near_duplicates(spark, make(rows), "").collect())
+    assert stage() == want
+    monkeypatch.setattr(simhash, "near_groups", lambda *_: spark.createDataFrame([], "key long, node long"))
+    assert len(stage()) == len(set(nodes)) > len(want)

@@ -1,12 +1,13 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose pairs, the texts themselves decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash fingerprints propose pairs, the texts themselves decide.
 
 A text's set is that of its runs of `SHINGLE` words (A-Z lower-cased, cut at ASCII white space; a shorter text is one run).
 Texts whose sets have a Jaccard similarity of `LEAST` or more are linked; a component is what links join.
 
-Which pairs are looked at: BANDS keys of ROWS minima each; a pair at similarity s shares none with probability
-(1 - s**ROWS)**BANDS, 3e-6 at 0.8 and less above. Equal sets are one node, so copies are never paired. Of a key's nodes
-each first meets the least one, then (where the nodes of a key are still in several components) one chosen by hash. So a
-large group of near copies costs a few pairs a node. The nodes of keys that are still in several components then meet by an exact
+Which pairs are looked at: those that SimHash with pivot distances links (`simhash.near_groups`, 512 bits of the shingles' hashes) at a distance
+that sets of the similarity do not pass; 3e-6 of the pairs at 0.8 share no table, fewer above (3e-5 where the larger set has five shingles, and
+under 1e-5 pass the limits). Equal sets are one node, so copies are never paired. Of the clusters that fingerprints link, each
+node first meets the least one, then (where a cluster's nodes are still in several components) one chosen by hash. So a
+large group of near copies costs a few pairs a node. The nodes of clusters that are still in several components then meet by an exact
 prefix-filtered join: their shingles are ordered by how many of these nodes have them, and two sets of the similarity share one of the
 rarest (1 - LEAST) of the larger one. Texts that only have a frequent passage in common differ in their rare shingles
 and so never meet. No group is dropped or capped.
@@ -26,11 +27,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxmill.llm import simhash
 from voxmill.llm.common import chunks, materialise
 from voxmill.operators.graph import star_components as components
 
-SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 24, 4
-_MIX = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SHINGLE, LEAST = 5, 0.8
 
 
 def text_mark() -> Column:
@@ -49,30 +50,32 @@ def similarity(a: set[bytes], b: set[bytes]) -> float:
     return both / (len(a) + len(b) - both) if a or b else 1.0
 
 
-def keys_of(text: str) -> tuple[int, list[int]]:
-    """The node (a digest of the set) and the keys of its bands; none for the empty set."""
-    own = grams(text)
-    h = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(42)), np.uint64, len(own)))
-    node = int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)))
-    if not len(h):
-        return node, []
-    least = np.min([((h[k : k + 4096] ^ _MIX[0]) * _MIX[1]).min(axis=1) for k in range(0, len(h), 4096)], axis=0).reshape(BANDS, ROWS)
-    return node, [int(np.uint64(xxhash.xxh3_64_intdigest(row.tobytes(), k)).view(np.int64)) for k, row in enumerate(least)]
+def fingerprints(texts: list[str]) -> tuple[list[int], list[int], list[bytes | None]]:
+    """The node (a digest of the set), size and wide fingerprint of each text; the empty set has none."""
+    sets = [grams(t) for t in texts]
+    each = [np.sort(np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(simhash.SEED)), np.uint64, len(own))) for own in sets]
+    nodes = [int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))) for h in each]
+    full = [k for k, h in enumerate(each) if len(h)]
+    out: list[bytes | None] = [None] * len(texts)
+    if full:
+        found = simhash.wide_fingerprints(np.concatenate([each[k] for k in full]), np.array([len(each[k]) for k in full]))
+        for k, fp in zip(full, found, strict=True):
+            out[k] = fp.tobytes()
+    return nodes, [len(h) for h in each], out
 
 
 def _coded(df: DataFrame) -> DataFrame:
-    """doc_id, mark (of the text), node and keys of each row."""
+    """doc_id, mark (of the text), node, size and fp of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", 1 << 20):
-                found = [keys_of(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("mark"), pa.array([n for n, _ in found], pa.int64()), pa.array([k for _, k in found], pa.list_(pa.int64()))], names=["doc_id", "mark", "node", "keys"]
-                )
+                nodes, sizes, fps = fingerprints(part.column("text").to_pylist())
+                cols = [part.column("doc_id"), part.column("mark"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "node", "size", "fp"])
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, mark long, node long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, mark long, node long, size long, fp binary")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -95,17 +98,16 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _nodes(df: DataFrame) -> DataFrame:
-    """node, keys, rep: the doc_id (nulls last) and mark of its first row, and how many rows have both."""
-    rows = materialise(_coded(df), "coded").groupBy("node", "doc_id", "mark").agg(F.count("*").alias("n"), F.any_value("keys").alias("keys"))
+    """node, size, fp, rep: the doc_id (nulls last) and mark of its first row, and how many rows have both."""
+    same = [F.any_value(c).alias(c) for c in ("size", "fp")]
+    rows = materialise(_coded(df), "coded").groupBy("node", "doc_id", "mark").agg(F.count("*").alias("n"), *same)
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "n")
-    return materialise(rows.groupBy("node").agg(F.min(rep).alias("rep"), F.any_value("keys").alias("keys")), "nodes")
+    return materialise(rows.groupBy("node").agg(F.min(rep).alias("rep"), *same), "nodes")
 
 
 def _roots(df: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and root of the nodes that are not the least of their component."""
-    keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
-    keyed = materialise(keyed.join(shared.hint("merge"), "key"), "keyed")
+    keyed = simhash.near_groups(nodes.where("size > 0"), LEAST)
     reps = nodes.join(keyed.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "rep.doc_id", "rep.mark")
     docs = df.select(F.col("doc_id").cast("long").alias("own"), text_mark().alias("mark"), "text")
     found = docs.join(reps.hint("merge"), F.col("own").eqNullSafe(reps["doc_id"]) & (docs["mark"] == reps["mark"]))

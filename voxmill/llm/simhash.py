@@ -16,6 +16,11 @@ Within a key, a pair whose rows of distances to `n_pivots` further pivots differ
 discarded, and the survivors are compared bit by bit. The links leave as a spanning forest, never as all pairs; the
 components are those of all links.
 
+Wide fingerprints (`wide_fingerprints`, `near_groups`) are for links that 3 of 64 bits can't reach. Sets of shingles whose Jaccard similarity is
+0.8 differ in up to WORST of their bits, each bit by itself, so such a pair's distance is known but for chance. Their keys are numbers of the same pivots,
+`coarse` of them to a table, and the tables are so many that a pair shares none with probability MISSED at most; within a
+key, rows meet by size and the bits confirm them. Here the distances are too large for further pivots to discard anything.
+
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any other. Equal
 fingerprints are one node, so copies and repeated rows are never paired. Every input row has one result row. A null
 doc_id never is a component_id unless its component has no other. An empty table gives an empty table.
@@ -37,6 +42,10 @@ from voxmill.operators.graph import star_components as components
 
 SHINGLE, SEED, BITS = 3, 42, 64
 ALL = (1 << BITS) - 1
+#: Words of a wide fingerprint, those of them that travel with a key, and the bits in which sets at Jaccard similarity 0.8 differ (counted over all such sets of six or more; five have 0.1875).
+WORDS, CARRIED, WORST = 8, 4, 0.165
+#: Pairs at 0.8 that share no table; differing bits of the first word and of all carried words (of sets up to five, of others) that under 1e-5 of such pairs pass.
+MISSED, FIRST_LIMIT, SMALL_LIMIT, LIMIT = 3e-6, 27, 82, 72
 
 
 def fingerprint_texts(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
@@ -232,3 +241,126 @@ def near_duplicates(df: DataFrame, limit: int = 3) -> DataFrame:
     least = grown.groupBy("root").agg(F.min("first").alias("component_id"))
     found = grown.join(least, "root").select("fp", "component_id")
     return docs.join(found, "fp").select("doc_id", "fp", "component_id")
+
+
+def wide_fingerprints(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(sets, WORDS) fingerprints of sets from the hashes of their shingles, end to end; no set is empty. The first word takes the hashes as they are."""
+    parts = -(-sizes // 255)  # a byte counts up to 255 ones
+    ends = np.cumsum(parts)
+    own = np.arange(ends[-1]) - np.repeat(ends - parts, parts)
+    cuts = np.repeat(np.cumsum(sizes) - sizes, parts) + 255 * own
+    out = np.zeros((len(sizes), WORDS), np.uint64)
+    lanes, places = np.uint64(0x0101010101010101), np.arange(0, BITS, 8, dtype=np.uint64)
+    for w in range(WORDS):
+        x = hashes
+        if w:
+            x = x + np.uint64(w * 0x9E3779B97F4A7C15 & ALL)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x = x ^ (x >> np.uint64(31))
+        for k in range(8):
+            ones = np.add.reduceat((x >> np.uint64(k)) & lanes, cuts).view(np.uint8).reshape(-1, 8)
+            ones = np.add.reduceat(ones.astype(np.int64), ends - parts, axis=0)
+            out[:, w] |= np.bitwise_or.reduce((2 * ones > sizes[:, None]).astype(np.uint64) << (places + np.uint64(k)), axis=1)
+    return out
+
+
+def coarse_tables(coarse: int) -> np.ndarray:
+    """(tables, coarse) numbers of pivots' neighbours: so many tables that a pair at WORST shares none with probability MISSED."""
+    count = int(np.ceil(np.log(MISSED) / np.log1p(-((1 - WORST) ** coarse)))) if coarse else 1
+    draw, fit = np.random.default_rng(42), WORDS * BITS // max(1, coarse)
+    dealt = [draw.permutation(WORDS * BITS)[: fit * coarse].reshape(fit, coarse) for _ in range(-(-count // fit))]
+    return np.concatenate(dealt)[:count]
+
+
+def coarse_keys(fp: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """(sets, tables) keys: the table and, of each of its neighbours at one bit, whether it is further off than the centre."""
+    count, coarse = tables.shape
+    numbers = np.concatenate([np.unpackbits(packed_numbers(fp[:, w], 1).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") for w in range(WORDS)], axis=1)
+    out = np.empty((len(fp), count), np.int64)
+    for t, own in enumerate(tables):
+        out[:, t] = numbers[:, own].astype(np.int64) @ (1 << np.arange(coarse, dtype=np.int64)) | t << coarse
+    return out
+
+
+def clusters(size: np.ndarray, fp: np.ndarray, least: float) -> np.ndarray:
+    """The least place that each set of a group is linked to; sets come by size, fp: (CARRIED, sets).
+
+    Linked are sets whose sizes allow the similarity `least` and whose carried words differ in no more than the limits.
+    """
+    n = len(size)
+    label, stop = np.arange(n), np.searchsorted(size, np.floor(size / least + 1e-9), side="right")
+    limit = np.where(size <= 5, SMALL_LIMIT, LIMIT)
+    for a in range(0, n, 64):
+        b, end = min(n, a + 64), int(stop[min(n, a + 64) - 1])
+        near = np.bitwise_count(fp[0, a:b, None] ^ fp[0, None, a:end]) <= FIRST_LIMIT
+        near &= label[a:b, None] != label[None, a:end]
+        i, j = np.nonzero(near)
+        i, j = i + a, j + a
+        ok = (j > i) & (j < stop[i])
+        i, j = i[ok], j[ok]
+        ok = np.bitwise_count(fp[:, i] ^ fp[:, j]).sum(axis=0, dtype=np.int64) <= limit[i]
+        if ok.any():
+            p, q = np.divmod(np.unique(label[i[ok]] * n + label[j[ok]]), n)
+            goes = np.arange(n)
+            for x, root in forest(p, q):
+                goes[x] = root
+            label = goes[label]
+    return label
+
+
+def near_groups(nodes: DataFrame, least: float, group: int = 2048) -> DataFrame:
+    """key, node: for each table, the clusters of two or more sets. nodes: node, size (of the set, not zero), fp (binary, the wide fingerprint).
+
+    The keys take as many numbers as leave about `group` nodes to a key; a larger group is met whole.
+    """
+    count = nodes.count()
+    tables = coarse_tables(max(0, int(np.ceil(np.log2(max(count, 1) / group)))))
+    carried = [f"f{k}" for k in range(CARRIED)]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                fp = np.frombuffer(b"".join(part.column("fp").to_pylist()), "<u8").reshape(-1, WORDS)
+                keys = coarse_keys(fp, tables)
+                times = lambda x: pa.array(np.repeat(x, keys.shape[1]))  # noqa: B023, E731
+                cols = [pa.array(keys.ravel()), times(np.asarray(part.column("size"))), times(np.asarray(part.column("node")))]
+                yield pa.RecordBatch.from_arrays(cols + [times(fp[:, k].view(np.int64)) for k in range(CARRIED)], names=["g", "size", "node", *carried])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+
+        def linked(rows):
+            found = []
+            first = np.concatenate([[0], np.flatnonzero(np.diff(rows[0])) + 1, [rows.shape[1]]])
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                if b - a > 1:
+                    label = clusters(rows[1, a:b], rows[3:, a:b].view(np.uint64), least)
+                    keep = np.flatnonzero(np.bincount(label, minlength=b - a)[label] > 1)
+                    node = rows[2, a:b]
+                    key = [xxhash.xxh3_64_intdigest(node[x].tobytes(), int(rows[0, a])) for x in label[keep].tolist()]
+                    found.append((np.array(key, np.uint64).view(np.int64), node[keep]))
+            cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node"])
+
+        for batch in batches:  # sorted by group; the last group of a batch may go on in the next
+            rows = np.stack([np.asarray(batch.column(c)) for c in ("g", "size", "node", *carried)])
+            if not rows.shape[1]:
+                continue
+            new = np.flatnonzero(np.diff(rows[0]))
+            if held and held[0][0, 0] != rows[0, 0]:
+                yield linked(np.concatenate(held, axis=1))
+                held = []
+            if len(new):
+                cut = int(new[-1]) + 1
+                yield linked(np.concatenate([*held, rows[:, :cut]], axis=1))
+                held, rows = [], rows[:, cut:].copy()
+            held.append(rows)
+        if held:
+            yield linked(np.concatenate(held, axis=1))
+
+    schema = "g long, size long, node long, " + ", ".join(f"{c} long" for c in carried)
+    # dealt out before each row is copied once for each table
+    keyed = nodes.select("node", "size", "fp").repartition("node").mapInArrow(dealt, schema)
+    return materialise(keyed.repartition("g").sortWithinPartitions("g", "size").mapInArrow(met, "key long, node long"), "groups")
