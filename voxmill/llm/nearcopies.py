@@ -4,7 +4,7 @@ A text's set is that of its runs of `SHINGLE` words (A-Z lower-cased, cut at ASC
 Texts whose sets have a Jaccard similarity of `LEAST` or more are linked; a component is what links join.
 
 Which pairs are looked at: those that SimHash with pivot distances links (`simhash.near_groups`, 512 bits of the shingles' hashes) at a distance
-that sets of the similarity do not pass; 3e-6 of the pairs at 0.8 share no table, fewer above (3e-5 where the larger set has five shingles, and
+that sets of the similarity do not pass; by computed odds 3e-6 of the pairs at 0.8 share no table, fewer above (3e-5 where the larger set has five shingles and keys seven bits, and
 under 1e-5 pass the limits). Equal sets are one node, so copies are never paired. Of the clusters that fingerprints link, each
 node first meets the least one, then (where a cluster's nodes are still in several components) one chosen by hash. So a
 large group of near copies costs a few pairs a node. The nodes of clusters that are still in several components then meet by an exact

@@ -19,7 +19,7 @@ components are those of all links.
 Wide fingerprints (`wide_fingerprints`, `near_groups`) are for links that 3 of 64 bits can't reach. Sets of shingles whose Jaccard similarity is
 0.8 differ in up to WORST of their bits, each bit by itself, so such a pair's distance is known but for chance. Their keys are numbers of the same pivots,
 `coarse` of them to a table, and the tables are so many that a pair shares none with probability MISSED at most; within a
-key, rows meet by size and the bits confirm them. Here the distances are too large for further pivots to discard anything.
+key, rows meet by size and the bits confirm them. These odds take the tables as independent, though they share bits. Here the distances are too large for further pivots to discard anything.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any other. Equal
 fingerprints are one node, so copies and repeated rows are never paired. Every input row has one result row. A null
@@ -42,7 +42,7 @@ from voxmill.operators.graph import star_components as components
 
 SHINGLE, SEED, BITS = 3, 42, 64
 ALL = (1 << BITS) - 1
-#: Words of a wide fingerprint, those of them that travel with a key, and the bits in which sets at Jaccard similarity 0.8 differ (counted over all such sets of six or more; five have 0.1875).
+#: Words of a wide fingerprint, those of them that travel with a key, and the bits in which sets at Jaccard similarity 0.8 differ (computed at 16 sizes of union from 6 to 300, at most 0.161; at five 0.1875).
 WORDS, CARRIED, WORST = 8, 4, 0.165
 #: Pairs at 0.8 that share no table; differing bits of the first word and of all carried words (of sets up to five, of others) that under 1e-5 of such pairs pass.
 MISSED, FIRST_LIMIT, SMALL_LIMIT, LIMIT = 3e-6, 27, 82, 72
