@@ -6,6 +6,7 @@ import xxhash
 import corpus_pipeline
 from tests.llm.test_duplicates import near_texts
 from voxmill.llm import nearcopies, simhash
+from voxmill.operators import graph
 
 
 def brute(rows):
@@ -106,3 +107,26 @@ def test_fingerprints_propose_the_pairs(spark, make, monkeypatch):
     assert stage() == want
     monkeypatch.setattr(simhash, "near_groups", lambda *_: spark.createDataFrame([], "key long, node long"))
     assert len(stage()) == len(set(nodes)) > len(want)
+
+
+def test_components_at_once_are_those_of_rounds(spark):
+    """One task or rounds: the same components, whatever the bound."""
+    r = random.Random(5)
+    edges = [(r.randrange(-400, 400), r.randrange(-400, 400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1060)] + [(7, 7)]
+    pairs = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    count = sum(a != b for a, b in edges)
+    want = sorted(map(tuple, graph.star_components(pairs).collect()))
+    assert all(sorted(map(tuple, graph.star_components(pairs, k).collect())) == want for k in (1, count - 1, count, 10**9))
+    assert graph.star_components(pairs.limit(0), 10).count() == 0
+
+
+def test_few_jobs_for_a_small_table(spark, make):
+    """The driver's memory goes into planning and compiling jobs: a small table takes no rounds of stars."""
+    rows = list(enumerate(near_texts(150)))
+    spark.sparkContext.setJobGroup("near", "near")
+    try:
+        kept = nearcopies.keep_first(make(rows)).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(x.doc_id for x in kept) == sorted(min(group, key=rank)[0] for group in brute(rows))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near")) <= 110

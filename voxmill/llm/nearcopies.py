@@ -32,6 +32,8 @@ from voxmill.llm.common import chunks, materialise
 from voxmill.operators.graph import star_components as components
 
 SHINGLE, LEAST = 5, 0.8
+#: Pairs whose components one task finds (16 MB); more go through rounds of stars, each of which has the driver plan and compile some ten jobs.
+AT_ONCE = 1 << 20
 
 
 def text_mark() -> Column:
@@ -116,15 +118,19 @@ def _roots(df: DataFrame, nodes: DataFrame) -> DataFrame:
     edges, roots = None, None
     for centre in (F.min("node"), F.min_by("node", F.xxhash64("key", "node"))):
         named = _open(keyed, roots)
+        if roots is not None and named.isEmpty():
+            return roots
         chosen = named.groupBy("key").agg(centre.alias("node"))
         mine = named.join(chosen.hint("merge"), ["key", "node"]).select("key", F.col("node").alias("a"), "root")
         other = named.select("key", F.col("node").alias("b"), F.col("root").alias("b_root"))
         met = mine.join(other.hint("merge"), "key").where("root <> b_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = _linked(met, texts)
         edges = new if edges is None else edges.union(new)
-        roots = components(edges)
+        roots = components(edges, AT_ONCE)
     left = materialise(_open(keyed, roots).select("node", "root").distinct(), "left")
-    return components(edges.union(_linked(_prefix_pairs(left, texts), texts)))
+    if left.isEmpty():
+        return roots
+    return components(edges.union(_linked(_prefix_pairs(left, texts), texts)), AT_ONCE)
 
 
 def _open(keyed: DataFrame, roots: DataFrame | None) -> DataFrame:

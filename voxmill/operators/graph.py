@@ -98,11 +98,12 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars()
 
 
-def star_components(pairs: DataFrame) -> DataFrame:
+def star_components(pairs: DataFrame, at_once: int = 0) -> DataFrame:
     """(node, root) of all nodes of pairs (a, b) but the roots, which are the least of their components; any orderable type.
 
     Alternating large and small stars (Kiveris et al., 2014): each round is two aggregations and two equi-joins. Pairs of
-    longs are first contracted within ranges of a, so that only what crosses ranges needs rounds. Runs jobs.
+    longs are first contracted within ranges of a, so that only what crosses ranges needs rounds. Runs jobs. No more than
+    at_once pairs of longs (BLOCK at most; they are counted first, so they had better be written) are joined by one task without rounds.
     """
 
     def star(p: DataFrame) -> DataFrame:
@@ -111,6 +112,8 @@ def star_components(pairs: DataFrame) -> DataFrame:
 
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     if isinstance(pairs.schema["a"].dataType, T.LongType):
+        if at_once and pairs.count() <= min(at_once, BLOCK - 1):
+            return materialise(pairs.coalesce(1).mapInArrow(forest, "a long, b long").toDF("node", "root"), "stars")
         pairs = pairs.repartitionByRange("a").mapInArrow(forest, "a long, b long")
     now, mark = materialise(pairs.distinct(), "pairs"), None
     while True:
