@@ -2,6 +2,7 @@ import warnings
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxmill.operators import graph, mesh, morph, voxelize
 from voxmill.operators.frame import from_points
@@ -46,6 +47,58 @@ def test_sizes_count_rows(spark):
         graph.connected_components(df, 18)
 
 
+@pytest.fixture
+def as_shuffled(spark):
+    """Joins without a broadcast of the planner's own, and partitions as they were dealt."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+def most_in_a_task(df):
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_large_component_is_dealt(spark, as_shuffled):
+    """A component with nearly all rows goes to all tasks, small ones are told apart by their rows."""
+    cube = solid_cube(spark, 12)
+    specks = [(50 + 2 * k, 0, 0) for k in range(9) for _ in range(1 + k % 3)]  # single voxels with 1, 2 and 3 rows
+    df = cube.union(cube).union(from_points(spark, [*specks, (90, 0, 0), (90, 0, 1), (95, 5, 5), (95, 5, 6), (95, 5, 6)]))
+    kept = graph.remove_small_objects(df, 3, 6)
+    solid_rows = sorted([(x, y, z) for x in range(12) for y in range(12) for z in range(12)] * 2)
+    rest = [p for p in specks if specks.count(p) == 3] + [(95, 5, 5), (95, 5, 6), (95, 5, 6)]
+    assert got(kept) == sorted(solid_rows + rest)
+    assert most_in_a_task(kept) < kept.count() // 2
+    assert got(graph.largest_component(df, 6)) == solid_rows
+    assert got(graph.remove_small_objects(df.limit(0), 1)) == []
+    labels = {(r.x, r.y, r.z): r.label for r in graph.connected_components(df, 6).collect()}
+    parts = sorted({(0, 0, 0), (90, 0, 0), (95, 5, 5), *specks})
+    assert all(labels[p] == k for k, p in enumerate(parts)) and labels[11, 11, 11] == 0 and labels[90, 0, 1] == labels[90, 0, 0] and labels[95, 5, 6] == labels[95, 5, 5]
+    assert len(labels) == 12**3 + 13
+
+
+def test_facts_of_a_large_component(spark, as_shuffled):
+    """Voxels of a large component get its facts where they are; those of roots without facts go."""
+    rooted = spark.range(0, 4000, 1, 4).selectExpr("IF(id < 3000, 0, id) AS root", "id AS x")
+    sizes = rooted.where("root <> 3999").groupBy("root").agg(F.count("*").alias("voxels"))
+    out = graph.by_root(rooted, sizes)
+    assert sorted((r.x, r.root, r.voxels) for r in out.collect()) == [(x, 0 if x < 3000 else x, 3000 if x < 3000 else 1) for x in range(3999)]
+    assert most_in_a_task(out.where("root = 0")) <= 1000
+
+
+def test_rows_of_objects(spark):
+    """By object, with columns beside the coordinates; of two components alike in rows the one with the least voxel stays."""
+    rows = [(2, 7, 0, 0, "a"), (2, 7, 0, 1, "b"), (1, 7, 0, 0, "c"), (1, 7, 0, 0, "d"), (3, 0, 0, 0, "e"), (3, None, 0, 0, "f"), (None, 1, 1, 1, "g"), (None, 1, 1, 1, "h"), (None, 1, 1, 1, "i")]
+    df = spark.createDataFrame(rows, "object_id long, x int, y int, z int, tag string").select("tag", "x", "y", "z", "object_id")
+    out = graph.remove_small_objects(df, 2)
+    assert out.columns == ["object_id", "x", "y", "z", "tag"] and sorted(r.tag for r in out.collect()) == ["a", "b", "c", "d"]
+    assert sorted(r.tag for r in graph.largest_component(df).collect()) == ["c", "d"]
+
+
 def test_edges(spark):
     nodes, edges = graph.edges(from_points(spark, [(5, 5, 5), (0, 0, 0), (1, 0, 0), (1, 0, 0)]))
     assert sorted((r.node_id, r.x) for r in nodes.collect()) == [(0, 0), (1, 1), (2, 5)]

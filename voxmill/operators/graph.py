@@ -21,6 +21,9 @@ from voxmill.sources.scratch import materialise, release
 #: Pairs that a task contracts at once; this bounds its memory and changes no result.
 BLOCK = 4_000_000
 
+#: A component with more than this part of all voxels is met by broadcast; this bounds what one task reads and changes no result.
+SHARE = 1000
+
 
 def _key(df: DataFrame, prefix: str = ""):
     return F.struct(*(F.col(prefix + c).alias(c) for c in keys(df)))
@@ -161,32 +164,58 @@ def component_roots(df: DataFrame, connectivity: int = 26) -> DataFrame:
     return own.withColumn("node", _key(own)).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
 
 
-def connected_components(df: DataFrame, connectivity: int = 26) -> DataFrame:
-    """df with label: 0 to n - 1 in the order of the components' least voxels (with object_id, over all objects)."""
+def _rooted(df: DataFrame, connectivity: int) -> DataFrame:
     if connectivity not in (6, 26):
         raise ValueError(f"connectivity has to be 6 or 26, not {connectivity}")
+    return materialise(component_roots(df, connectivity), "rooted")
+
+
+def by_root(rooted: DataFrame, facts: DataFrame) -> DataFrame:
+    """rooted with the columns of facts (a row for each root, with voxels: its number in rooted); voxels of other roots go.
+
+    Roots with more than 1 / SHARE of all voxels, fewer than SHARE, are broadcast and only the others meet by root: no task gets a whole large
+    component. Runs a job.
+    """
+    most = (facts.agg(F.sum("voxels")).first()[0] or 0) // SHARE
+    large, small = facts.where(F.col("voxels") > most), facts.where(F.col("voxels") <= most)
+    rest = rooted.join(F.broadcast(large.select("root")), "root", "left_anti")
+    return rooted.join(F.broadcast(large), "root").unionByName(rest.join(small, "root"))
+
+
+def connected_components(df: DataFrame, connectivity: int = 26) -> DataFrame:
+    """df with label: 0 to n - 1 in the order of the components' least voxels (with object_id, over all objects)."""
     df = validate(df)
-    rooted = materialise(component_roots(df, connectivity), "rooted")
-    labels = dense_id(rooted.select("root").distinct(), ["root"], "label")
-    return df.join(rooted.join(labels, "root").drop("root"), keys(df))
+    rooted = _rooted(df, connectivity)
+    labels = dense_id(rooted.groupBy("root").agg(F.count("*").alias("voxels")), ["root"], "label")
+    return df.join(by_root(rooted, labels).drop("root", "voxels"), keys(df))
 
 
 def component_sizes(df: DataFrame, connectivity: int = 26) -> tuple[DataFrame, DataFrame]:
-    """The labelled rows, and label with n: the number of rows (duplicates count)."""
-    labelled = materialise(connected_components(df, connectivity), "labelled")
-    return labelled, labelled.groupBy("label").agg(F.count("*").alias("n"))
+    """The distinct voxels with root, and root with voxels and n: the numbers of voxels and of rows (duplicates count)."""
+    df = validate(df)
+    counted = materialise(df.groupBy(*keys(df)).agg(F.count("*").alias("rows")), "counted")
+    rooted = _rooted(counted.drop("rows"), connectivity)
+    sizes = rooted.join(counted, keys(df), "left").groupBy("root").agg(F.count("*").alias("voxels"), F.sum("rows").alias("n"))
+    return rooted, materialise(sizes, "sizes")
+
+
+def _rows_on(df: DataFrame, own: DataFrame) -> DataFrame:
+    """The rows of df on the voxels of own. Rows meet voxels by coordinates, never by component."""
+    df = validate(df)
+    return df.join(own.select(*keys(df)), keys(df), "left_semi").select(*keys(df), *(c for c in df.columns if c not in keys(df)))
 
 
 def largest_component(df: DataFrame, connectivity: int = 26) -> DataFrame:
-    """The rows of the component with the most rows; of several the one with the lowest label."""
-    labelled, sizes = component_sizes(df, connectivity)
-    best = sizes.orderBy(F.desc("n"), "label").limit(1)
-    return labelled.join(F.broadcast(best.select("label")), "label", "left_semi").drop("label")
+    """The rows of the component with the most rows; of several the one with the least voxel."""
+    rooted, sizes = component_sizes(df, connectivity)
+    best = sizes.orderBy(F.desc("n"), "root").limit(1)
+    return _rows_on(df, rooted.join(F.broadcast(best.select("root")), "root", "left_semi"))
 
 
 def remove_small_objects(df: DataFrame, min_size: int, connectivity: int = 26) -> DataFrame:
-    labelled, sizes = component_sizes(df, connectivity)
-    return labelled.join(sizes.where(F.col("n") >= min_size).select("label"), "label", "left_semi").drop("label")
+    """The rows of the components with min_size rows or more."""
+    rooted, sizes = component_sizes(df, connectivity)
+    return _rows_on(df, by_root(rooted, sizes).where(F.col("n") >= min_size))
 
 
 def fill_cavities(df: DataFrame, mode: str = "exact", max_depth: int | None = 8, max_cavity_size: int | None = None) -> DataFrame:
